@@ -49,7 +49,7 @@ def _best_config(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[f
     return float(best[capacity]), config
 
 
-def optimise_configs(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
+def optimise_configs(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 1000) -> list[tuple[np.ndarray, int]]:
     """Configurations and how many containers of each: the linear programme by column generation, rounded down."""
     m = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
@@ -81,7 +81,7 @@ class _Plan:
             self.rows.append((length, lo, hi, first, per))
 
 
-def plan_containers(histogram: dict[int, int], capacity: int, small: float = 0.125, groups: int = 24) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def plan_containers(histogram: dict[int, int], capacity: int, small: float = 0.2, groups: int = 96) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """The plan's rows and the number of containers; lengths are from 1 to ``capacity``."""
     plan = _Plan()
     edge = small * capacity
@@ -202,7 +202,7 @@ def plan_containers(histogram: dict[int, int], capacity: int, small: float = 0.1
 # ---- ranks and lookup ----
 
 
-def fill_containers(items: DataFrame, item: str, length: str, capacity: int, small: float = 0.125, groups: int = 24) -> DataFrame:
+def fill_containers(items: DataFrame, item: str, length: str, capacity: int, small: float = 0.2, groups: int = 96) -> DataFrame:
     """``item, piece, pieces, frames, container`` for each item, or each piece of an item above ``capacity``.
 
     An oversized item is cut into pieces of ``capacity`` and one of the rest; no other item is cut. Items of a null,

@@ -134,4 +134,6 @@ def split_items(items: DataFrame, item: str, length: str, spans: DataFrame, span
         return pd.DataFrame([(rows["i"].iloc[0], k, s, e, ok) for k, (s, e, ok) in enumerate(plan)], columns=[item, "piece_no", "piece_start_ms", "piece_end_ms", "natural"])
 
     kind = items.schema[item].dataType.simpleString()
+    # as many tasks as the session has shuffle partitions: the packed input is small, the planning is not
+    whole = whole.repartition(int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions")), "i")
     return whole.groupBy("i").applyInPandas(cut, f"`{item}` {kind}, piece_no int, piece_start_ms bigint, piece_end_ms bigint, natural boolean")

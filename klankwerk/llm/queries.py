@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from klankwerk.llm.containers import fill_containers
+from klankwerk.llm.leaks import build_index, find_leaks
 from klankwerk.llm.pieces import CutCost, split_items
+from klankwerk.llm.splits import assign_splits, components, source_path
 from klankwerk.runtime import latest, millis, table
 
 LIMIT_MS, OVERLAP_MS, CAPACITY = 600_000, 15_000, 3072
@@ -55,9 +57,60 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_sequences(spark, sf_dir).where("pieces > 1 AND piece = 1").select("chunk_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_balanced": p3_balanced, "p5_found": p5_found, "p5_sequences": p5_sequences}
+# ---- 6: splits ----
+
+SHARES = {"train": 0.9, "validation": 0.05, "test": 0.05}
+
+
+def _owned(rows: DataFrame) -> DataFrame:
+    """The rows with ``source_path`` and with owners that stand for nobody made null."""
+    return rows.withColumn("source_path", source_path(F.col("source_file"))).withColumn("owner", F.when(F.col("chunk_owner") != -1, F.col("chunk_owner")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "processed_chunks", "chunk_id", "exported_at", "chunk_owner", "source_file")
+    rows = _owned(latest(rows, "chunk_id", "exported_at", "chunk_owner", "source_file")).where("owner IS NOT NULL")
+    _, sources = components(rows, "owner", "source_path")
+    groups = sources.groupBy("root").agg(F.count("*").alias("paths")).where("paths > 1")
+    return sources.join(groups, "root").select(F.col("source").alias("source_path"), F.col("root").alias("group_owner"))
+
+
+def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of processed_chunks, repeated and outdated ones included, with its split."""
+    rows = _owned(table(spark, sf_dir, "processed_chunks", "chunk_id", "exported_at", "chunk_owner", "source_file"))
+    return assign_splits(rows, "owner", "source_path", SHARES)[0].select("chunk_id", "source_path", "chunk_owner", "split")
+
+
+# ---- 7: test items in the corpus ----
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and item with a passage of 12 words in common, and how much of the item is covered."""
+    segments = build_index(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    return find_leaks(segments, table(spark, sf_dir, "eval_items", "item_id", "text"), "item_id", "text").drop("phrase")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+QUERIES = {"p3_found": p3_found, "p3_balanced": p3_balanced, "p5_found": p5_found, "p5_sequences": p5_sequences, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_leaks": p7_leaks}
 
 SQL = {
+    "p6_found": """
+with recursive cur as (
+  select chunk_id, arg_max(struct_pack(o := chunk_owner, f := source_file), exported_at) r
+  from (select distinct chunk_id, exported_at, chunk_owner, source_file from processed_chunks) group by chunk_id),
+e as (select distinct r.o o, regexp_replace(lower(regexp_replace(r.f, '^\\s+|\\s+$', '', 'g')), '/+', '/', 'g') s
+      from cur where r.o is not null and r.o <> -1 and r.f is not null),
+reach as (
+  select o as a, o as b from e
+  union
+  select reach.a, e2.o from reach join e e1 on e1.o = reach.b join e e2 on e2.s = e1.s where e2.o < reach.b or e2.o > reach.b),
+root as (select b as o, min(a) g from reach group by 1),
+p as (select distinct e.s, g from e join root using (o))
+select s as source_path, g as group_owner from p where g in (select g from p group by g having count(*) > 1)
+""",
     "p3_found": """
 with recursive f as (
   select id, cast(floor(arg_max(audio_duration_sec, created_at) * 1000 + 0.5) as bigint) n from audio_files
