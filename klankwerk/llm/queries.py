@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from klankwerk.llm.containers import fill_containers
 from klankwerk.llm.leaks import build_index, find_leaks
+from klankwerk.llm.mixing import mix, token_counts
 from klankwerk.llm.pieces import CutCost, split_items
+from klankwerk.llm.spam import spam_pages
 from klankwerk.llm.splits import assign_splits, components, source_path
 from klankwerk.runtime import latest, millis, table
 
@@ -94,7 +96,45 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_balanced": p3_balanced, "p5_found": p5_found, "p5_sequences": p5_sequences, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_leaks": p7_leaks}
+# ---- 8: the mix ----
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    texts = table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    sized = token_counts(texts, "text", VOCABULARY, "doc_id", "source")
+    return mix(sized, "doc_id", "source", "n_tokens", table(spark, sf_dir, "mix_targets"), "source", "target_share", "max_repeats")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1].where("limited").select("source")
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sized text and how often the mix uses it."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares wanted and reached."""
+    return _mix(spark, sf_dir)[1]
+
+
+# ---- 9: spam pages ----
+
+
+def p9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its distance from the clean texts of its language and the verdict."""
+    pages = spam_pages(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang")
+    return pages.select("doc_id", "lang", "n_words", F.round("density", 6).alias("density"), F.round("distance", 4).alias("distance"), "spam")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_pages(spark, sf_dir).where("spam").select("doc_id")
+
+
+QUERIES = {"p3_found": p3_found, "p3_balanced": p3_balanced, "p5_found": p5_found, "p5_sequences": p5_sequences, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pages": p9_pages}
 
 SQL = {
     "p6_found": """
