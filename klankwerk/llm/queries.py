@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from klankwerk.llm.containers import fill_containers
 from klankwerk.llm.leaks import build_index, find_leaks
 from klankwerk.llm.mixing import mix, token_counts
+from klankwerk.llm.neighbours import similar_vectors, usable_vectors
 from klankwerk.llm.pieces import CutCost, split_items
 from klankwerk.llm.spam import spam_pages
 from klankwerk.llm.splits import assign_splits, components, source_path
@@ -16,6 +17,22 @@ from klankwerk.runtime import latest, millis, table
 LIMIT_MS, OVERLAP_MS, CAPACITY = 600_000, 15_000, 3072
 
 
+# ---- 1: similar voices ----
+
+DIM, NEAREST, LEAST = 512, 5, 0.5
+
+
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, other, similarity`` for the five most similar others of every speaker, as far as they reach 0.5."""
+    voices = usable_vectors(table(spark, sf_dir, "speakers"), "id", "embedding", "created_at", DIM)
+    return similar_vectors(voices, DIM, NEAREST, LEAST)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = p1_neighbours(spark, sf_dir)
+    return near.select(F.least("id", "other").alias("speaker_a"), F.greatest("id", "other").alias("speaker_b")).distinct()
+
+
 # ---- 3: oversized recordings ----
 
 
@@ -134,9 +151,18 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_pages(spark, sf_dir).where("spam").select("doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_balanced": p3_balanced, "p5_found": p5_found, "p5_sequences": p5_sequences, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pages": p9_pages}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_balanced": p3_balanced, "p5_found": p5_found, "p5_sequences": p5_sequences, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pages": p9_pages}
 
 SQL = {
+    "p1_found": """
+with cur as (select id, arg_max(struct_pack(e := embedding), created_at).e e from speakers group by id),
+v as (select id, e::double[512] e from (
+        select id, e from cur where e is not null and len(e) = 512
+        and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0)),
+s as (select a.id a, b.id b, round(array_cosine_similarity(a.e, b.e), 6) s from v a join v b on a.id <> b.id),
+t as (select a, b, s, row_number() over (partition by a order by s desc, b) r from s where s >= 0.5)
+select distinct least(a, b) as speaker_a, greatest(a, b) as speaker_b from t where r <= 5
+""",
     "p6_found": """
 with recursive cur as (
   select chunk_id, arg_max(struct_pack(o := chunk_owner, f := source_file), exported_at) r
