@@ -86,13 +86,16 @@ def _blocks(df: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndarray,
 def resolve_block(spark: SparkSession, store: DataFrame, voices: list[tuple], threshold: float = THRESHOLD, compat: bool = False, next_id: int = 1) -> tuple[list[tuple], list[tuple], int]:
     """One block of ``(key, file, vector)`` in order against ``store`` (``id, embedding``).
 
-    Gives ``(key, speaker id)`` of each voice, the new ``(id, vector)`` and the next free id. A voice takes the most
+    Gives ``(key, speaker id)`` of each voice, the new ``(id, vector)`` and the next free id. All usable vectors have
+    the length of the longest. A voice takes the most
     similar speaker at ``threshold`` or above, ties to the lowest id; else it becomes a new one. With ``compat`` the
     new speakers of a file are not seen by the other voices of that file.
     """
     if not voices:
         return [], [], next_id
-    units, good = _unit([v for _, _, v in voices])
+    dim = max([len(v) for _, _, v in voices if v] or [1])
+    fine = [v if v and len(v) == dim and None not in v else [0.0] * dim for _, _, v in voices]
+    units, good = _unit(fine)
     queries = spark.sparkContext.broadcast(units)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,7 +116,7 @@ def resolve_block(spark: SparkSession, store: DataFrame, voices: list[tuple], th
         yield pd.DataFrame({"k": k, "id": who[k], "s": top[k]})
 
     found = store.mapInPandas(best, "k bigint, id bigint, s double").groupBy("k").agg(F.max_by(F.struct("id", "s"), F.struct("s", -F.col("id"))).alias("b"))
-    stored = {r.k: (r.b.s, r.b.id) for r in found.collect()}
+    stored = {r.k: (r.b.s, r.b.id) for r in found.collect()} if good.any() else {}
     given, fresh = [], []
     fresh_units, fresh_files = np.zeros((len(voices), units.shape[1])), []
     for k, (key, file, vector) in enumerate(voices):
@@ -160,7 +163,7 @@ def resolve_speakers(voices: DataFrame, store: DataFrame | None = None, threshol
         waiting = []
 
     for r in voices.orderBy("file", "seq", "key").select("key", "file", "embedding").toLocalIterator():
-        waiting.append((r[0], r[1], r[2] if r[2] is not None else [0.0]))
+        waiting.append((r[0], r[1], r[2]))
         if len(waiting) == block:
             flush()
     if waiting:
