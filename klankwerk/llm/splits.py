@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from klankwerk.runtime import staged
+from klankwerk.runtime import free_name, staged
 
 QUARANTINE = "quarantine"
 
@@ -47,7 +47,7 @@ def contract(links: DataFrame) -> DataFrame:
                 break
         over = lambda df, c: df.join(jumped.select(F.col("node").alias(c), F.col("up").alias("_up")), c, "left").withColumn(c, F.coalesce("_up", c)).drop("_up")
         live = staged(over(over(live, "a"), "b").where("a != b").select("a", "b").distinct(), "links")
-        roots = staged(over(roots, "root"), "roots")
+        roots = staged(over(roots, "root").select("node", "root"), "roots")
     return roots
 
 
@@ -70,7 +70,7 @@ def no_members(spark: SparkSession) -> DataFrame:
 
 
 def assign_splits(records: DataFrame, owner: str, source: str, shares: Mapping[str, float], members: DataFrame | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """The records with a column ``split`` (``_split`` if that is taken), and the extended component table.
+    """The records with a column ``split`` (with underscores in front if that is taken), and the extended component table.
 
     Owner and source of a record share its split, and so does whatever they are joined to. A component that an earlier
     batch knows keeps its split; a new one fills what the splits lack of their ``shares`` of all records so far:
@@ -84,7 +84,8 @@ def assign_splits(records: DataFrame, owner: str, source: str, shares: Mapping[s
     members_given = members is not None
     members = members if members_given else no_members(spark)
     total_share = sum(shares.values())
-    mark = "split" if "split" not in {c.lower() for c in records.columns} else "_split"
+    mark = free_name(records.columns, "split")
+    o, s, so, ss = (free_name(records.columns, x) for x in ("_o", "_s", "_so", "_ss"))
     own, src = F.col(owner).cast("long"), F.col(source)
     counted = staged(records.groupBy(own.alias("o"), src.alias("s")).agg(F.count("*").alias("n")), "counted")
 
@@ -144,15 +145,15 @@ def assign_splits(records: DataFrame, owner: str, source: str, shares: Mapping[s
     decided = staged(decided.unionByName(sizes.where("old IS NOT NULL").select("root", F.col("old").alias("split"), "component")), "decided")
 
     placed = staged(nodes.join(decided, "root").join(known.select("node", F.col("split").alias("kept")), "node", "left").select("node", "component", "split", "kept"), "placed")
-    by_owner = placed.where("node LIKE 'o:%'").select(F.substring("node", 3, 30).cast("long").alias("_o"), F.col("split").alias("_so"))
-    by_source = placed.where("node LIKE 's:%'").select(F.expr("substring(node, 3)").alias("_s"), F.col("split").alias("_ss"))
-    tagged = records.withColumn("_o", own).withColumn("_s", src)
+    by_owner = placed.where("node LIKE 'o:%'").select(F.expr("substring(node, 3)").cast("long").alias(o), F.col("split").alias(so))
+    by_source = placed.where("node LIKE 's:%'").select(F.expr("substring(node, 3)").alias(s), F.col("split").alias(ss))
+    tagged = records.withColumn(o, own).withColumn(s, src)
     lone, edge = F.lit(None).cast("string"), 0.0
     v = F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`").cast("string") for c in records.columns]), F.lit(1 << 40)) / float(1 << 40)
     for k, share in shares.items():
         edge += share / total_share
         lone = F.coalesce(lone, F.when((v < edge) if k != list(shares)[-1] else F.lit(True), F.lit(k)))
-    done = tagged.join(by_owner, "_o", "left").join(by_source, "_s", "left").withColumn(mark, F.coalesce("_so", "_ss", lone)).select(*records.columns, mark)
+    done = tagged.join(by_owner, o, "left").join(by_source, s, "left").withColumn(mark, F.coalesce(so, ss, lone)).select(*[f"`{c}`" for c in records.columns], mark)
 
     new = placed.where("kept IS NULL").select(F.when(F.col("node").startswith("o:"), "owner").otherwise("source").alias("kind"), F.expr("substring(node, 3)").alias("name"), "component", "split", F.lit(0).cast("long").alias("records"))
     sums = sizes.join(decided.select("root", "split"), "root").groupBy("split").agg(F.sum("n").alias("records"))
