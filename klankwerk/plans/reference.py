@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from klankwerk import schemas as K
+from klankwerk import sources, streaming
+from klankwerk.functions import media
 from klankwerk.functions import text as X
 from klankwerk.functions import tokens as Tk
 from klankwerk.functions import training as M
 from klankwerk.operators import balance, batching, identity, metrics, store, timeline
-from klankwerk.runtime import latest, table
+from klankwerk.runtime import latest, shared_dir, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -508,12 +510,77 @@ def token_loss(spark, sf_dir):
 @query(f"""with {_FILES} select original_file_path as audio_file_path, 30.0::double as window_size_sec, case when id % 2 = 0 then 120.0 else 80.0 end::double as skip_start_sec, 80.0::double as skip_end_sec from files where original_file_path is not null""")
 def parsed_jobs(spark, sf_dir):
     """Jobs as JSON and back; parameters that a message lacks take their defaults."""
-    from klankwerk.sources import parse_jobs, to_messages
-
     rows = _files(spark, sf_dir).select(F.col("original_file_path").alias("audio_file_path"), F.when(F.col("id") % 2 == 0, 120.0).alias("skip_start_sec"))
-    return parse_jobs(to_messages(rows)).where("NOT broken").select("audio_file_path", "window_size_sec", "skip_start_sec", "skip_end_sec")
+    return sources.parse_jobs(sources.to_messages(rows)).where("NOT broken").select("audio_file_path", "window_size_sec", "skip_start_sec", "skip_end_sec")
 
 
 @query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
 def message_fields(spark, sf_dir):
     return table(spark, sf_dir, "events", "event_id", "props").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+# ---- sinks, queues and media boundaries ----
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    return f"{shared_dir(spark)}/klankwerk/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query(f"""with {_EXPORTED}, s as (select chunk_id, (row_number() over (order by chunk_id) - 1) // 10000 as k, count(*) over () as n from exported)
+select case when n <= 10000 then 'dataset' else 'dataset_shard_' || lpad(cast(k + 1 as varchar), 3, '0') end as shard, count(*) as row_count, min(chunk_id) as first_id, max(chunk_id) as last_id from s group by 1""")
+def shard_export(spark, sf_dir):
+    """The export written in shards of 10,000 rows, resumed once, and read back."""
+    target, rows = _scratch(spark, "export"), _exported(spark, sf_dir)
+    for _ in range(2):  # the second run finds every shard there
+        sources.write_shards(rows, ["chunk_id"], target, per_shard=10_000)
+    return sources.read_shards(spark, target).groupBy("shard").agg(F.count("*").alias("row_count"), F.min("chunk_id").alias("first_id"), F.max("chunk_id").alias("last_id"))
+
+
+@query(f"with {_FILES} select distinct regexp_replace(original_file_path, '^\\s+|\\s+$', '', 'g') as path from files where original_file_path is not null")
+def path_list(spark, sf_dir):
+    """Paths written as a text list and read back."""
+    target = _scratch(spark, "list")
+    sources.write_list(_files(spark, sf_dir).select(F.col("original_file_path").alias("path")).where("path IS NOT NULL").distinct(), target)
+    return sources.read_list(spark, target).distinct()
+
+
+@query(f"""with {_FILES} select original_file_path as path, max(success::int) = 1 as present from files where original_file_path is not null group by 1""")
+def present_paths(spark, sf_dir):
+    """Which paths are in a listing, here that of the successful files."""
+    files = _files(spark, sf_dir).select(F.col("original_file_path").alias("path"), "success").where("path IS NOT NULL")
+    return sources.present(files.select("path").distinct(), files.where("success"))
+
+
+@query(f"""with {_FILES} select distinct original_file_path as audio_file_path, 30.0::double as window_size_sec, 120.0::double as skip_start_sec, 180.0::double as skip_end_sec
+from files where original_file_path is not null and original_file_path not in (select original_file_path from files where success and original_file_path is not null)""")
+def job_stream(spark, sf_dir):
+    """Jobs of all files pushed to a queue twice, consumed as a stream; those done already are skipped."""
+    base, files = _scratch(spark, "queue"), _files(spark, sf_dir)
+    jobs = sources.jobs_for(files.select(F.col("original_file_path").alias("path")).where("path IS NOT NULL"))
+    for _ in range(2):
+        streaming.push(jobs, f"{base}/jobs")
+    schema = "audio_file_path string, window_size_sec double, skip_start_sec double, skip_end_sec double, timestamp double"
+    write = streaming.table_upserter(f"{base}/table", schema, "audio_file_path", [], "timestamp")
+    consumer = streaming.job_consumer(lambda: files, lambda rows: write(rows.select("audio_file_path", "window_size_sec", "skip_start_sec", "skip_end_sec", "timestamp")), f"{base}/dead")
+    streaming.start(streaming.messages(spark, f"{base}/jobs", 1000), consumer, f"{base}/checkpoint").awaitTermination()
+    return streaming.current(spark, f"{base}/table", schema)[1].drop("timestamp")
+
+
+@query()
+def media_pipeline(spark, sf_dir):
+    """Path to turns, chunks and transcripts through the media stand-ins, with the path as content."""
+    files = _files(spark, sf_dir).select(F.col("id").alias("file"), F.encode("original_file_path", "UTF-8").alias("content")).where("content IS NOT NULL")
+    chunks = timeline.pack_greedily(media.diarise(files.where(media.is_readable(F.col("content")))))
+    cut = media.cut_segments(chunks.join(files, "file"))
+    return cut.select("file", "chunk_no", "start", "end", media.transcribe(F.col("segment")).alias("transcription"), F.size(media.encode_audio(F.col("segment"))).alias("frames"))
+
+
+@query(f"with {_CHUNKS} select id, 1024 as text_length, 64 as audio_input_length, 64 as audio_target_length from chunks")
+def window_batches(spark, sf_dir):
+    """Model input: chosen text as bytes, framed codes and their delayed inputs and shifted targets, lengths only."""
+    text = batching.chosen_text(F.col("transcription"), F.col("transcription_clean"), ["id"])
+    rows = _codes(spark, sf_dir).join(_chunks(spark, sf_dir).select("id", text.alias("text")), "id").select("id", X.byte_tokens(F.col("text")).alias("text"), Tk.framed(F.col("frames"), 64).alias("audio"))
+    rows = rows.withColumn("audio_input", Tk.delayed(F.col("audio"))).withColumn("audio_target", Tk.shifted(F.col("audio_input")))
+    return rows.select("id", *[F.size(c).alias(f"{c}_length") for c in ("text", "audio_input", "audio_target")])

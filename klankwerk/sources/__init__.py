@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
+import shutil
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +58,39 @@ def with_blobs(rows: DataFrame, path: str, local: DataFrame | None, remote: Data
     return out.withColumn("content", F.coalesce("_local", "_remote")).drop("_local", "_remote").where("content IS NOT NULL")
 
 
+def present(paths: DataFrame, listing: DataFrame) -> DataFrame:
+    """``path, present``: whether each path is in a listing."""
+    there = listing.select("path").distinct().withColumn("_there", F.lit(True))
+    return paths.select("path").join(there, "path", "left").select("path", F.coalesce("_there", F.lit(False)).alias("present"))
+
+
+def move_files(plan: DataFrame, root: str) -> DataFrame:
+    """Move files ``source`` to ``target`` (under ``root``), giving ``source, target, moved, error`` of each.
+
+    A target that is there already is kept and the source removed; a source that cannot be moved is removed as well,
+    so that a work folder never fills up, and its error is told. Both are paths of a file system all executors share.
+    A repeated row finds its target there. Nothing happens before the result is used.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for source, target in zip(batch["source"], batch["target"]):
+                error, goal = None, Path(root, target)
+                try:
+                    goal.parent.mkdir(parents=True, exist_ok=True)
+                    if not goal.exists():
+                        shutil.copyfile(source, f"{goal}.part")
+                        os.replace(f"{goal}.part", goal)
+                except OSError as e:
+                    error = str(e)
+                Path(source).unlink(missing_ok=True)
+                out.append((source, target, error is None, error))
+            yield pd.DataFrame(out, columns=["source", "target", "moved", "error"])
+
+    return plan.select("source", "target").mapInPandas(run, "source string, target string, moved boolean, error string")
+
+
 # ---- Parquet shards ----
 
 
@@ -90,6 +127,11 @@ def head(shards: DataFrame, order: list[str], limit: int) -> DataFrame:
     return shards.orderBy("file", *order).limit(limit)
 
 
+def in_turn(shards: DataFrame, order: list[str]) -> Iterator:
+    """The rows, shard after shard; the driver holds one partition at a time."""
+    return shards.orderBy("file", *order).toLocalIterator(prefetchPartitions=True)
+
+
 # ---- a relational store ----
 
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from klankwerk.operators.identity import resolve_speakers
 from klankwerk.operators.store import still_to_do, upsert
@@ -31,6 +31,30 @@ def queue_length(spark: SparkSession, queue: str) -> int:
     return spark.read.text(queue).count()
 
 
+class Progress(StreamingQueryListener):
+    """Counts of what the queries of a session did, by query name or id; add it with ``spark.streams.addListener``."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.batches: dict[str, int] = {}
+        self.failed: dict[str, str] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.rows.setdefault(event.name or str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        key = event.progress.name or str(event.progress.id)
+        self.rows[key] = self.rows.get(key, 0) + event.progress.numInputRows
+        self.batches[key] = self.batches.get(key, 0) + 1
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception:
+            self.failed[str(event.id)] = event.exception
+
+
 def start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
     """``each`` micro-batch; an error in it ends the query, and the batch is run again on the next start."""
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

@@ -116,3 +116,32 @@ def test_stream_of_voices_finds_speakers_of_earlier_batches(spark, tmp_path):
     assert rows(spark.read.parquet(given).select("key", "speaker_id")) == [("a", 1), ("b", 1), ("c", 2)]
     assert spark.read.parquet(store).count() == 2
     assert math.isclose(spark.read.parquet(store).where("id = 1").first().embedding[0], 1.0)
+
+
+def test_moved_files_and_listings(spark, tmp_path):
+    (tmp_path / "w").mkdir()
+    for n in "ab":
+        (tmp_path / "w" / n).write_text(n)
+    (tmp_path / "o/x").mkdir(parents=True)
+    (tmp_path / "o/x/b").write_text("kept")
+    plan = spark.createDataFrame([(str(tmp_path / "w/a"), "x/a"), (str(tmp_path / "w/b"), "x/b"), (str(tmp_path / "w/none"), "x/none")], "source string, target string")
+    got = {r.target: r.moved for r in sources.move_files(plan, str(tmp_path / "o")).collect()}
+    assert got == {"x/a": True, "x/b": True, "x/none": False}
+    assert (tmp_path / "o/x/a").read_text() == "a" and (tmp_path / "o/x/b").read_text() == "kept" and not any((tmp_path / "w").iterdir())
+    there = sources.present(spark.createDataFrame([("p",), ("q",)], "path string"), spark.createDataFrame([("p",), ("p",)], "path string"))
+    assert rows(there) == [("p", True), ("q", False)]
+
+
+def test_progress_counts_rows(spark, tmp_path):
+    listener = streaming.Progress()
+    spark.streams.addListener(listener)
+    spark.createDataFrame([("a",), ("b",)], "value string").write.text(str(tmp_path / "q"))
+    streaming.start(streaming.messages(spark, str(tmp_path / "q")), lambda df, n: df.count(), str(tmp_path / "ck")).awaitTermination()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    spark.streams.removeListener(listener)
+    assert sum(listener.rows.values()) >= 2 and not listener.failed
+
+
+def test_shards_in_turn(spark, tmp_path):
+    sources.write_shards(spark.range(9), ["id"], str(tmp_path / "s"), per_shard=4)
+    assert [r.id for r in sources.in_turn(sources.read_shards(spark, str(tmp_path / "s")), ["id"])] == list(range(9))
