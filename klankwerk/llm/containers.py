@@ -27,25 +27,23 @@ from klankwerk.runtime import staged
 
 
 def _best_config(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The configuration of greatest value: unbounded knapsack over the rounded sizes."""
-    best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1, dtype=np.int64)
-    least = int(sizes.min())
-    for c in range(least, capacity + 1):
-        fits = np.flatnonzero(sizes <= c)
-        gain = best[c - sizes[fits]] + value[fits]
-        j = int(np.argmax(gain))
-        if gain[j] > best[c - 1] + 1e-12:
-            best[c], pick[c] = gain[j], fits[j]
-        else:
-            best[c] = best[c - 1]
+    """The configuration of greatest value: unbounded knapsack over the rounded sizes, by number of items."""
+    best, picks = np.zeros(capacity + 1), []
+    for _ in range(capacity // int(sizes.min())):
+        more, pick = best.copy(), np.full(capacity + 1, -1, dtype=np.int64)
+        for j, (s, v) in enumerate(zip(sizes.tolist(), value.tolist())):
+            gain = best[: capacity + 1 - s] + v
+            up = gain > more[s:] + 1e-12
+            more[s:][up], pick[s:][up] = gain[up], j
+        if (pick < 0).all():
+            break
+        best = more
+        picks.append(pick)
     config, c = np.zeros(len(sizes), dtype=np.int64), capacity
-    while c >= least:
-        if pick[c] < 0 or best[c] == best[c - 1]:
-            c -= 1
-            continue
-        config[pick[c]] += 1
-        c -= int(sizes[pick[c]])
+    for pick in reversed(picks):
+        if pick[c] >= 0:
+            config[pick[c]] += 1
+            c -= int(sizes[pick[c]])
     return float(best[capacity]), config
 
 
@@ -81,7 +79,7 @@ class _Plan:
             self.rows.append((length, lo, hi, first, per))
 
 
-def plan_containers(histogram: dict[int, int], capacity: int, small: float = 0.2, groups: int = 96) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def plan_containers(histogram: dict[int, int], capacity: int, small: float = 0.2, groups: int = 192) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """The plan's rows and the number of containers; lengths are from 1 to ``capacity``."""
     plan = _Plan()
     edge = small * capacity
@@ -202,7 +200,7 @@ def plan_containers(histogram: dict[int, int], capacity: int, small: float = 0.2
 # ---- ranks and lookup ----
 
 
-def fill_containers(items: DataFrame, item: str, length: str, capacity: int, small: float = 0.2, groups: int = 96) -> DataFrame:
+def fill_containers(items: DataFrame, item: str, length: str, capacity: int, small: float = 0.2, groups: int = 192) -> DataFrame:
     """``item, piece, pieces, frames, container`` for each item, or each piece of an item above ``capacity``.
 
     An oversized item is cut into pieces of ``capacity`` and one of the rest; no other item is cut. Items of a null,
