@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from klankwerk.runtime import staged
 
-SHARD = 2048
+SHARD, FULL = 3072, 4096
 QUERIES = 4096
 MAX_CENTROIDS = 8192
 SAMPLE = 65_536
-PROBES = 5
+PROBES = 6
 LINKS = 12
 CANDIDATES = 48
 BEAM = 40
@@ -281,9 +281,9 @@ def similar_vectors(vectors: DataFrame, dim: int, k: int = 5, least: float = -1.
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32).tolist(), type=pa.list_(pa.int32()))], names=["c", "v", "cells"])
 
     routed = staged(heads.mapInArrow(route, "c binary, v binary, cells array<int>"), "routed")
-    # cells beyond the size of a shard are cut by hash; at most MAX_CENTROIDS rows reach the driver
+    # cells beyond a third more than the size of a shard are cut by hash; at most MAX_CENTROIDS rows reach the driver
     visits = {r.cell: (int(r.home), int(r.n)) for r in routed.select(F.posexplode("cells").alias("pos", "cell")).groupBy("cell").agg(F.count_if(F.col("pos") == 0).alias("home"), F.count("*").alias("n")).collect()}
-    cells = spark.createDataFrame([(c, max(1, -(-h // (2 * shard))), max(1, -(-n // QUERIES))) for c, (h, n) in sorted(visits.items()) if h], "cell int, subs int, blocks int")
+    cells = spark.createDataFrame([(c, max(1, -(-h // (shard * FULL // SHARD))), max(1, -(-n // QUERIES))) for c, (h, n) in sorted(visits.items()) if h], "cell int, subs int, blocks int")
     hashed = F.xxhash64("c")
 
     shards = routed.select("c", "v", F.col("cells")[0].alias("cell")).join(F.broadcast(cells), "cell")
