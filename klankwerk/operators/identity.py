@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from klankwerk.runtime import staged
+
 BLOCK = 4096
 THRESHOLD = 0.5
 
@@ -159,7 +161,7 @@ def resolve_speakers(voices: DataFrame, store: DataFrame | None = None, threshol
         some, fresh, next_id = resolve_block(spark, grown, waiting, threshold, compat, next_id)
         given = given.unionByName(spark.createDataFrame(some, names))
         if fresh:
-            grown = grown.select("id", "embedding").unionByName(spark.createDataFrame(fresh, _STORE))
+            grown = grown.select("id", "embedding").unionByName(staged(spark.createDataFrame(fresh, _STORE), "speakers"))
         waiting = []
 
     for r in voices.orderBy("file", "seq", "key").select("key", "file", "embedding").toLocalIterator():
