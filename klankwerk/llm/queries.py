@@ -153,15 +153,25 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_balanced": p3_balanced, "p5_found": p5_found, "p5_sequences": p5_sequences, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pages": p9_pages}
 
-SQL = {
-    "p1_found": """
+_NEAREST = """
 with cur as (select id, arg_max(struct_pack(e := embedding), created_at).e e from speakers group by id),
 v as (select id, e::double[512] e from (
         select id, e from cur where e is not null and len(e) = 512
         and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0)),
 s as (select a.id a, b.id b, round(array_cosine_similarity(a.e, b.e), 6) s from v a join v b on a.id <> b.id),
 t as (select a, b, s, row_number() over (partition by a order by s desc, b) r from s where s >= 0.5)
-select distinct least(a, b) as speaker_a, greatest(a, b) as speaker_b from t where r <= 5
+"""
+
+SQL = {
+    "p1_found": _NEAREST + "select distinct least(a, b) as speaker_a, greatest(a, b) as speaker_b from t where r <= 5",
+    "p1_neighbours": _NEAREST + "select a as id, b as other, s as similarity from t where r <= 5",
+    "p7_found": """
+with w as (
+  select id, k, list_filter(regexp_extract_all(strip_accents(lower(regexp_replace(x, '\\[[^\\]]*\\]|\\([^)]*\\)', ' ', 'g'))), '[\\p{L}\\p{N}]+'),
+                            lambda v: v not in ('eh', 'ehm', 'uh', 'uhm', 'hm')) ws
+  from (select doc_id as id, 0 as k, text as x from documents union all select item_id, 1, text from eval_items) where x is not null),
+g as (select id, k, array_to_string(ws[i:i + 11], ' ') as gram from (select id, k, ws, unnest(range(1, len(ws) - 10)) as i from w where len(ws) >= 12))
+select distinct d.id as doc_id, e.id as item_id from g d join g e on d.gram = e.gram where d.k = 0 and e.k = 1
 """,
     "p6_found": """
 with recursive cur as (
