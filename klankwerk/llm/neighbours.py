@@ -136,7 +136,8 @@ def search_graph(unit: np.ndarray, graph: dict[str, np.ndarray], queries: np.nda
             moving = np.arange(m)
             while len(moving):
                 nb = links[at[here[moving]]]
-                sims = np.where(nb >= 0, np.einsum("ijk,ik->ij", unit[np.maximum(nb, 0)], q[moving]), -2.0)
+                dots = [unit.take(row, axis=0, mode="clip") @ q[x] for row, x in zip(nb, moving.tolist())]
+                sims = np.where(nb >= 0, np.stack(dots), -2.0)
                 j = sims.argmax(axis=1)
                 top = sims[np.arange(len(moving)), j]
                 up = top > best[moving]
@@ -170,7 +171,13 @@ def search_graph(unit: np.ndarray, graph: dict[str, np.ndarray], queries: np.nda
             _, first = np.unique(pair, return_index=True)
             r, c, node = r[first], c[first], node[first]
             sims = np.full(nb.shape, -2.0, dtype=np.float32)
-            sims[r, c] = np.einsum("ij,ij->i", unit[node], q[live[r]])
+            # a query at a time: its few rows are in the cache when they are multiplied
+            cuts, dots = np.searchsorted(r, np.arange(len(live) + 1)).tolist(), np.empty(len(r), dtype=np.float32)
+            for i, x in enumerate(live.tolist()):
+                a, b = cuts[i], cuts[i + 1]
+                if a < b:
+                    dots[a:b] = unit.take(node[a:b], axis=0) @ q[x]
+            sims[r, c] = dots
             all_val = np.concatenate([val[live], sims], axis=1)
             all_ids = np.concatenate([ids[live], np.where(sims > -2, nb, -1)], axis=1)
             all_done = np.concatenate([done[live], ~(sims > -2)], axis=1)
