@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -37,9 +38,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: the session's ``spark.checkpoint.dir``, a temporary one only where that is unset."""
+    """Folder all executors share: the session's ``spark.checkpoint.dir``.
+
+    Only where that is unset and the session has a single process is it a temporary one.
+    """
     here = spark.conf.get("spark.checkpoint.dir", None)
     if not here:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _OWN_DIRS:
             _OWN_DIRS.append(tempfile.mkdtemp(prefix="klankwerk-"))
             atexit.register(shutil.rmtree, _OWN_DIRS[0], True)

@@ -332,3 +332,17 @@ def test_similar_pairs_and_unusable_vectors(spark):
     pairs = identity.similar_pairs(df, df, dim=2, threshold=0.5)
     assert rows(pairs) == [(1, 2, 1.0), (2, 1, 1.0)]
     assert rows(identity.nearest(pairs)) == [(1, 2, 1.0), (2, 1, 1.0)]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from klankwerk.runtime import shared_dir
+
+    conf = lambda **x: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: x.get(k.rsplit(".", 1)[1], d)))
+    with pytest.raises(ValueError):
+        shared_dir(conf(master="yarn"))
+    with pytest.raises(ValueError):
+        shared_dir(conf(master="local-cluster[3,2,3000]"))
+    assert shared_dir(conf(master="yarn", dir="hdfs://x/")) == "hdfs://x"
+    assert shared_dir(conf(master="local[8]")).startswith("file:///")
