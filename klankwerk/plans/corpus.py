@@ -10,7 +10,7 @@ from klankwerk.operators.periods import periods_and_gaps
 from klankwerk.runtime import latest, millis, table
 
 
-def owner_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _owner_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``chunk_owner, real_sec, stored_sec, chunks`` for every owner on either side; a missing total is 0."""
     chunks = table(spark, sf_dir, "processed_chunks", "chunk_id", "exported_at", "chunk_owner", "start_ms", "end_ms", "duration_ms")
     chunks = latest(chunks, "chunk_id", "exported_at", "chunk_owner", "start_ms", "end_ms", "duration_ms").where("chunk_owner != -1")
@@ -22,12 +22,17 @@ def owner_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = lambda c, kind: F.coalesce(F.col(c), F.lit(0).cast(kind))
     both = real.join(stored, "chunk_owner", "full_outer")
     return both.select(
-        "chunk_owner", F.round(zero("real_total", "double"), 3).alias("real_sec"), F.round(zero("stored_total", "double"), 3).alias("stored_sec"), zero("real_rows", "long").alias("chunks")
+        "chunk_owner", zero("real_total", "double").alias("real_sec"), zero("stored_total", "double").alias("stored_sec"), zero("real_rows", "long").alias("chunks")
     )
 
 
+def owner_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals of every owner, rounded to the millisecond."""
+    return _owner_sums(spark, sf_dir).select("chunk_owner", F.round("real_sec", 3).alias("real_sec"), F.round("stored_sec", 3).alias("stored_sec"), "chunks")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return owner_totals(spark, sf_dir).where(F.abs(F.round(F.col("real_sec") - F.col("stored_sec"), 6)) > 0.5).select("chunk_owner")
+    return _owner_sums(spark, sf_dir).where(F.abs(F.round(F.col("real_sec") - F.col("stored_sec"), 6)) > 0.5).select("chunk_owner")
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +63,7 @@ a as (select r.o as id, sum(coalesce(r.d, r.e - r.s)) / 1000 as real_sec, count(
 b as (select speaker_id as id, sum(d) as stored_sec from (
         select speaker_id, run_id, arg_max(duration_sec, computed_at) d from speaker_stats group by 1, 2)
       where speaker_id is not null and speaker_id <> -1 group by 1)
-select coalesce(a.id, b.id) as chunk_owner, round(coalesce(real_sec, 0), 3) as real_sec, round(coalesce(stored_sec, 0), 3) as stored_sec,
+select coalesce(a.id, b.id) as chunk_owner, coalesce(real_sec, 0) as real_sec, coalesce(stored_sec, 0) as stored_sec,
        coalesce(chunks, 0) as chunks
 from a full join b on a.id = b.id
 """
@@ -75,7 +80,7 @@ r as (select chunk_id, speaker_id, 'period' as kind, start_ms, end_ms, intervals
 """
 SQL = {
     "p2_found": f"select chunk_owner from ({_TOTALS}) where abs(round(real_sec - stored_sec, 6)) > 0.5",
-    "p2_owner_totals": _TOTALS,
+    "p2_owner_totals": f"select chunk_owner, round(real_sec, 3) as real_sec, round(stored_sec, 3) as stored_sec, chunks from ({_TOTALS})",
     "p4_found": _PERIODS + "select chunk_id, speaker_id, kind, start_ms, end_ms from r where kind = 'gap' or intervals >= 2",
     "p4_periods": _PERIODS + "select * from r",
 }
