@@ -24,6 +24,7 @@ from klankwerk.runtime import staged
 
 FILLERS = frozenset({"eh", "ehm", "uh", "uhm", "hm"})
 SEGMENT_TOKENS = 400_000
+GAP = 64
 QUERY_BYTES = 16 << 20
 _ASIDE = re.compile(r"\[[^\]]*\]|\([^)]*\)")
 _WORD = re.compile(r"[^\W_]+")
@@ -38,6 +39,7 @@ _SEGMENT = T.StructType(
         T.StructField("postings", T.BinaryType()),
         T.StructField("docs", T.ArrayType(T.LongType())),
         T.StructField("starts", T.ArrayType(T.IntegerType())),
+        T.StructField("gap", T.IntegerType()),
     ]
 )
 
@@ -56,7 +58,7 @@ def words(text: str | None) -> list[str]:
 # ---- the index ----
 
 
-def _segment(name: str, vocabulary: dict[str, int], codes: np.ndarray, docs: list[int], starts: list[int], lengths: list[int]) -> pa.RecordBatch:
+def _segment(name: str, vocabulary: dict[str, int], codes: np.ndarray, docs: list[int], starts: list[int], lengths: list[int], gap: int) -> pa.RecordBatch:
     order = np.argsort(codes, kind="stable").astype(np.int64)
     sorted_codes = codes[order]
     owner = np.repeat(np.arange(len(docs)), lengths)
@@ -72,11 +74,11 @@ def _segment(name: str, vocabulary: dict[str, int], codes: np.ndarray, docs: lis
     width = np.where(widest < 256, 1, np.where(widest < 65536, 2, 4)).astype(np.int32)
     kinds = {1: np.uint8, 2: np.uint16, 4: np.uint32}
     blob = b"".join(step[heads[i] : heads[i + 1]].astype(kinds[int(width[i])]).tobytes() for i in range(len(vocabulary)))
-    row = [name, list(vocabulary), df.astype(np.int32), size.astype(np.int32), width, blob, np.asarray(docs, dtype=np.int64), np.asarray(starts, dtype=np.int32)]
+    row = [name, list(vocabulary), df.astype(np.int32), size.astype(np.int32), width, blob, np.asarray(docs, dtype=np.int64), np.asarray(starts, dtype=np.int32), gap]
     return pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, to_arrow_schema(_SEGMENT))], schema=to_arrow_schema(_SEGMENT))
 
 
-def build_index(corpus: DataFrame, doc: str, text: str, gap: int = 64, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
+def build_index(corpus: DataFrame, doc: str, text: str, gap: int = GAP, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
     """The positional index of ``corpus`` as a table of segments in the shared folder.
 
     Every text is indexed whole; null and empty texts have no postings. ``gap`` free positions part two documents, so
@@ -102,10 +104,10 @@ def build_index(corpus: DataFrame, doc: str, text: str, gap: int = 64, segment_t
                 at += len(found) + gap
                 held += len(found)
                 if held >= segment_tokens:
-                    yield _segment(f"{part}-{serial}", vocabulary, np.concatenate(codes), docs, starts, lengths)
+                    yield _segment(f"{part}-{serial}", vocabulary, np.concatenate(codes), docs, starts, lengths, gap)
                     vocabulary, codes, docs, starts, lengths, at, held, serial = {}, [], [], [], [], 0, 0, serial + 1
         if docs:
-            yield _segment(f"{part}-{serial}", vocabulary, np.concatenate(codes), docs, starts, lengths)
+            yield _segment(f"{part}-{serial}", vocabulary, np.concatenate(codes), docs, starts, lengths, gap)
 
     slim = corpus.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("x"))
     return staged(slim.mapInArrow(index, _SEGMENT), "segments")
@@ -163,20 +165,24 @@ def _phrase(segment: _Segment, codes: np.ndarray, orders: np.ndarray, length: in
     return found
 
 
-def _near(segment: _Segment, codes: np.ndarray, rarity: np.ndarray, terms: int, within: int) -> list[np.ndarray]:
-    """Positions about which the ``terms`` rarest terms of an item all occur, none farther than ``within`` words."""
-    known = np.unique(codes[codes >= 0])
-    if len(known) < terms:
-        return []
-    rank = {int(c): r for c, r in zip(codes, rarity)}
-    picked = sorted(known.tolist(), key=lambda c: (rank[c], c))[:terms]
-    at = segment.postings(picked[0])
-    for c in picked[1:]:
+def _rarest(found: list[str], dfs: dict[str, int], terms: int) -> list[str]:
+    """The ``terms`` rarest distinct terms of an item over the whole corpus, ties in the order of the terms; none if the corpus has fewer."""
+    picked = sorted({w for w in found if w in dfs}, key=lambda w: (dfs[w], w))[:terms]
+    return picked if len(picked) == terms else []
+
+
+def _near(segment: _Segment, picked: list[str], within: int) -> np.ndarray:
+    """Positions of the first of ``picked`` about which all others occur, none farther than ``within`` words."""
+    codes = [segment.code.get(w, -1) for w in picked]
+    if not codes or min(codes) < 0:
+        return np.zeros(0, dtype=np.int64)
+    at = segment.postings(codes[0])
+    for c in codes[1:]:
         other = segment.postings(c)
         at = at[np.searchsorted(other, at + within, side="right") > np.searchsorted(other, at - within)]
         if not len(at):
-            return []
-    return [at]
+            break
+    return at
 
 
 def find_leaks(segments: DataFrame, items: DataFrame, item: str, text: str, length: int = 12, near_terms: int = 0, near_within: int = 40) -> DataFrame:
@@ -185,11 +191,16 @@ def find_leaks(segments: DataFrame, items: DataFrame, item: str, text: str, leng
     A passage is ``length`` consecutive words. ``passages`` counts the item's passages found in the document,
     ``matched_words`` the item's words they cover. With ``near_terms`` > 0, documents also come out in which that many
     of the item's rarest terms all lie within ``near_within`` words of the rarest, with ``phrase`` false and no
-    passages. Items shorter than ``length`` have no passage; null texts and null ids are left out; of items with the
+    passages. These terms are picked once for the whole corpus, of those that it has; an item with fewer has no such
+    match. ``near_within`` must be less than the gap of the index. Items shorter than ``length`` have no passage; null texts and null ids are left out; of items with the
     same id each counts. An item's terms that the corpus lacks match nothing. Items are taken in batches of a bounded
     size, each held against all segments.
     """
     spark = segments.sparkSession
+    if near_terms:
+        gap = segments.agg(F.min("gap")).first()[0]
+        if gap is not None and near_within >= gap:
+            raise ValueError(f"near_within must be less than the gap of the index, {gap}")
     ready = items.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).cast("long").alias("i"), F.col(text).alias("x"))
     size = ready.agg(F.sum(F.octet_length("x"))).first()[0] or 0
     batches = max(1, -(-int(size) // QUERY_BYTES))
@@ -209,10 +220,11 @@ def find_leaks(segments: DataFrame, items: DataFrame, item: str, text: str, leng
             asked, dfs = shared.value
             rarities = [np.array([dfs.get(w, 0) for w in ws], dtype=np.int64) for _, ws in asked]
             orders = [_orders(r, length) for r in rarities]
+            rarest = [_rarest(ws, dfs, near_terms) if near_terms else [] for _, ws in asked]
             for batch in rows:
                 for k in range(batch.num_rows):  # one segment at a time in memory
                     segment, found = _Segment(batch.slice(k, 1).to_pylist()[0]), {}
-                    for (i, ws), rarity, order in zip(asked, rarities, orders):
+                    for (i, ws), order, picked in zip(asked, orders, rarest):
                         codes = np.array([segment.code.get(w, -1) for w in ws], dtype=np.int64)
                         covered: dict[int, tuple[set[int], set[int]]] = {}
                         for w, at in _phrase(segment, codes, order, length).items():
@@ -222,10 +234,9 @@ def find_leaks(segments: DataFrame, items: DataFrame, item: str, text: str, leng
                                 touched.update(range(w, w + length))
                         for d, (offsets, touched) in covered.items():
                             found[d, i] = (len(offsets), len(touched), len(ws), True)
-                        if near_terms:
-                            for at in _near(segment, codes, rarity, near_terms, near_within):
-                                for d in set(segment.doc_of(at).tolist()):
-                                    found.setdefault((d, i), (0, 0, len(ws), False))
+                        if picked:
+                            for d in set(segment.doc_of(_near(segment, picked, near_within)).tolist()):
+                                found.setdefault((d, i), (0, 0, len(ws), False))
                     if found:
                         table = [(*k, *v) for k, v in found.items()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*table), to_arrow_schema(out))], schema=to_arrow_schema(out))

@@ -113,6 +113,16 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+NEAR_TERMS, NEAR_WITHIN = 4, 40
+
+
+def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and item with a passage of 12 words in common, or with the item's rarest terms close together."""
+    segments = build_index(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    found = find_leaks(segments, table(spark, sf_dir, "eval_items", "item_id", "text"), "item_id", "text", near_terms=NEAR_TERMS, near_within=NEAR_WITHIN)
+    return found.select("doc_id", "item_id", "phrase")
+
+
 # ---- 8: the mix ----
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -151,7 +161,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_pages(spark, sf_dir).where("spam").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_balanced": p3_balanced, "p5_found": p5_found, "p5_sequences": p5_sequences, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pages": p9_pages}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_balanced": p3_balanced, "p5_found": p5_found, "p5_sequences": p5_sequences, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_near": p7_near, "p8_found": p8_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pages": p9_pages}
 
 _NEAREST = """
 with cur as (select id, arg_max(struct_pack(e := embedding), created_at).e e from speakers group by id),
@@ -172,6 +182,24 @@ with w as (
   from (select doc_id as id, 0 as k, text as x from documents union all select item_id, 1, text from eval_items) where x is not null),
 g as (select id, k, array_to_string(ws[i:i + 11], ' ') as gram from (select id, k, ws, unnest(range(1, len(ws) - 10)) as i from w where len(ws) >= 12))
 select distinct d.id as doc_id, e.id as item_id from g d join g e on d.gram = e.gram where d.k = 0 and e.k = 1
+""",
+    "p7_near": """
+with w as (
+  select row_number() over () as r, id, k, list_filter(regexp_extract_all(strip_accents(lower(regexp_replace(x, '\\[[^\\]]*\\]|\\([^)]*\\)', ' ', 'g'))), '[\\p{L}\\p{N}]+'),
+                            lambda v: v not in ('eh', 'ehm', 'uh', 'uhm', 'hm')) ws
+  from (select doc_id as id, 0 as k, text as x from documents union all select item_id, 1, text from eval_items) where x is not null and id is not null),
+g as (select id, k, array_to_string(ws[i:i + 11], ' ') as gram from (select id, k, ws, unnest(range(1, len(ws) - 10)) as i from w where len(ws) >= 12)),
+phrases as (select distinct d.id as doc_id, e.id as item_id from g d join g e on d.gram = e.gram where d.k = 0 and e.k = 1),
+tok as (select r, id, k, unnest(ws) as t, unnest(range(len(ws))) as p from w),
+df as (select t, count(distinct r) as n from tok where k = 0 group by t),
+pick as (select r, id, t, row_number() over (partition by r order by n, t) as q from (select distinct r, id, t from tok where k = 1) join df using (t)),
+four as (select * from pick where q <= 4 and r in (select r from pick group by r having count(*) >= 4)),
+docs as (select r, id, t, p from tok where k = 0 and t in (select t from four)),
+heads as (select s.r as item, s.id as item_id, d.r as doc, d.id as doc_id, d.p from four s join docs d on d.t = s.t where s.q = 1),
+near as (select distinct doc_id, item_id from (
+  select h.item, h.item_id, h.doc, h.doc_id, h.p from heads h join four s on s.r = h.item and s.q > 1 join docs d on d.r = h.doc and d.t = s.t and abs(d.p - h.p) <= 40
+  group by all having count(distinct s.q) = 3))
+select doc_id, item_id, true as phrase from phrases union all select doc_id, item_id, false from near anti join phrases using (doc_id, item_id)
 """,
     "p6_found": """
 with recursive cur as (

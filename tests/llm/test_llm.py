@@ -306,6 +306,37 @@ def test_proximity_finds_scattered_terms(spark):
     assert rows(got.select("doc_id", "phrase", "passages")) == [(1, False, 0)]
 
 
+def near_by_force(docs, items, terms, within):
+    """Brute force for documents and items with the corpus's rarest terms of the item within reach of the rarest."""
+    texts = [(d, leaks.words(x)) for d, x in docs]
+    df = Counter(w for _, ws in texts for w in set(ws))
+    out = set()
+    for i, x in items:
+        picked = sorted({w for w in leaks.words(x) if w in df}, key=lambda w: (df[w], w))[:terms]
+        for d, ws in texts if len(picked) == terms else []:
+            at = {w: [p for p, v in enumerate(ws) if v == w] for w in picked}
+            if any(all(any(abs(q - p) <= within for q in at[w]) for w in picked) for p in at[picked[0]]):
+                out.add((d, i))
+    return out
+
+
+def test_proximity_does_not_depend_on_the_segments(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(40)]
+    make = lambda n: " ".join(vocabulary[min(39, int(rng.expovariate(0.12)))] for _ in range(n))
+    docs = [(k, make(rng.randint(1, 40))) for k in range(150)] + [(900, "de het een"), (901, "de rode kat zat het een")]
+    items = [(k, make(rng.randint(2, 12)) + rng.choice(["", " unheard"])) for k in range(40)] + [(90, "rode kat de het een"), (91, "w1 unheard")]
+    want = near_by_force(docs, items, 3, 8)
+    assert (901, 90) in want and (900, 90) not in want and len(want) > 40
+    i = spark.createDataFrame(items, "item_id bigint, text string")
+    for parts, size in ((1, 10**6), (1, 60), (4, 200)):
+        index = leaks.build_index(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(parts), "doc_id", "text", segment_tokens=size)
+        got = leaks.find_leaks(index, i, "item_id", "text", 12, near_terms=3, near_within=8).where("NOT phrase")
+        assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+    with pytest.raises(ValueError):
+        leaks.find_leaks(index, i, "item_id", "text", 12, near_terms=3, near_within=leaks.GAP)
+
+
 # ---- 8 ----
 
 
