@@ -100,6 +100,17 @@ def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_splits(rows, "owner", "source_path", SHARES)[0].select("chunk_id", "source_path", "chunk_owner", "split")
 
 
+def p6_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of processed_chunks with its split, taken in two batches: the second, from halfway of the export times on, extends the components of the first."""
+    rows = _owned(table(spark, sf_dir, "processed_chunks", "chunk_id", "exported_at", "chunk_owner", "source_file"))
+    first, last = rows.agg(F.min("exported_at"), F.max("exported_at")).first()
+    early = F.coalesce(F.col("exported_at") < F.lit(first + (last - first) / 2 if first else None), F.lit(False))
+    done, members = assign_splits(rows.where(early), "owner", "source_path", SHARES)
+    more, _ = assign_splits(rows.where(~early), "owner", "source_path", SHARES, members)
+    both = done.withColumn("batch", F.lit(1)).unionByName(more.withColumn("batch", F.lit(2)))
+    return both.select("chunk_id", "source_path", "chunk_owner", "batch", "split")
+
+
 # ---- 7: test items in the corpus ----
 
 
@@ -161,7 +172,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_pages(spark, sf_dir).where("spam").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_balanced": p3_balanced, "p5_found": p5_found, "p5_sequences": p5_sequences, "p6_found": p6_found, "p6_splits": p6_splits, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_near": p7_near, "p8_found": p8_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pages": p9_pages}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_balanced": p3_balanced, "p5_found": p5_found, "p5_sequences": p5_sequences, "p6_found": p6_found, "p6_splits": p6_splits, "p6_batches": p6_batches, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_near": p7_near, "p8_found": p8_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pages": p9_pages}
 
 _NEAREST = """
 with cur as (select id, arg_max(struct_pack(e := embedding), created_at).e e from speakers group by id),

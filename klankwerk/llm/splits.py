@@ -76,7 +76,8 @@ def assign_splits(records: DataFrame, owner: str, source: str, shares: Mapping[s
     batch knows keeps its split; a new one fills what the splits lack of their ``shares`` of all records so far:
     components above a thousandth of the records go one by one, greatest first, to the split that lacks most, the
     others by a hash of their root in proportion to what is then lacking. If new records join components of different
-    splits, those components keep theirs and everything new in the merge is 'quarantine', records included. A record
+    splits, those components keep theirs and everything new in the merge is 'quarantine', records included, and stays
+    apart from them: records joined to one of those components alone, in the same or a later batch, take its split. A record
     without owner and source is a component of its own (by its hash; equal rows go together). Repeated rows each
     count. Every record comes out once.
     """
@@ -96,20 +97,21 @@ def assign_splits(records: DataFrame, owner: str, source: str, shares: Mapping[s
     bare = counted.where("o IS NULL AND s IS NOT NULL").select("s").distinct().join(sources.select(F.col("source").alias("s")), "s", "left_anti")
     nodes = staged(nodes.unionByName(bare.select(F.concat(F.lit("s:"), "s").alias("node"), F.concat(F.lit("s:"), "s").alias("root"))), "nodes")
 
-    # a batch's component may reach several known ones, and two of the batch's may meet in a known one
+    # a batch's component may reach several known ones; only those of one split with it go on together
     met = nodes.join(known, "node").select("root", "component", "split").distinct()
     if members_given:
-        met = staged(met, "met")
-        pairs = met.select(F.concat(F.lit("b:"), "root").alias("a"), F.concat(F.lit("k:"), "component").alias("b"))
+        one = F.when(F.min("split") == F.max("split"), F.min("split")).otherwise(QUARANTINE).alias("old")
+        old = staged(met.groupBy("root").agg(one), "old")
+        met = staged(met.join(old, "root").where(F.col("split") == F.col("old")).select("root", "component", "split"), "met")
+        pairs = met.select(F.concat(F.lit("b:"), "root").alias("a"), F.concat(F.lit("k:"), "split", F.lit(":"), "component").alias("b"))
         group = contract(pairs).where("node LIKE 'b:%'").select(F.expr("substring(node, 3)").alias("root"), F.col("root").alias("g"))
         met = staged(met.join(group, "root"), "met")
-        one = F.when(F.min("split") == F.max("split"), F.min("split")).otherwise(QUARANTINE).alias("old")
-        verdict = staged(group.join(met.groupBy("g").agg(one, F.min("component").alias("component")), "g"), "verdict")
-        # components that merge within one split go on under one name
-        renamed = met.select("g", F.col("component").alias("was")).distinct().join(verdict.where(F.col("old") != QUARANTINE).select("g", "component").distinct(), "g")
-        renamed = renamed.where("was != component").select(F.col("was").alias("component"), F.col("component").alias("_to"))
-        members = members.join(renamed, "component", "left").select("kind", "name", F.coalesce("_to", "component").alias("component"), "split", "records")
-        verdict = verdict.select("root", "component", "old")
+        named = met.groupBy("g").agg(F.min("component").alias("_to"))
+        # components that merge within one split go on under one name; a new quarantined one has a name of its own
+        own_name = F.coalesce("_to", F.concat(F.lit("q:"), "root")).alias("component")
+        verdict = staged(old.join(group.join(named, "g"), "root", "left").select("root", own_name, "old"), "verdict")
+        renamed = met.select("g", "component", "split").distinct().join(named, "g").where("component != _to").select("component", "split", "_to")
+        members = members.join(renamed, ["component", "split"], "left").select("kind", "name", F.coalesce("_to", "component").alias("component"), "split", "records")
     else:
         verdict = spark.createDataFrame([], "root string, component string, old string")
 

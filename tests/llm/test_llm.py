@@ -258,6 +258,25 @@ def test_merging_components_of_one_split_go_on_under_one_name(spark):
     assert members.where("kind != 'total'").select("component").distinct().count() == 1
 
 
+def test_an_old_conflict_leaves_the_components_their_splits(spark):
+    frame = lambda data: spark.createDataFrame(data, "owner bigint, src string")
+    shares = {"a": 0.5, "b": 0.5}
+    done, members = splits.assign_splits(frame([(k, f"p{k}") for k in range(1, 41)] + [(k, "big") for k in range(1, 4)]), "owner", "src", shares)
+    of = {r.owner: r.split for r in done.collect()}
+    other = next(k for k in of if of[k] != of[1])
+    second, members = splits.assign_splits(frame([(1, "mix"), (other, "mix"), (900, "mix"), (901, "p2")]), "owner", "src", shares, members)
+    got = {r.owner: r.split for r in second.collect()}
+    assert got[900] == splits.QUARANTINE and got[901] == of[1]  # 901 joins nothing
+    third, members = splits.assign_splits(frame([(902, "mix"), (903, "p3"), (2, "mix"), (904, "p1")]), "owner", "src", shares, members)
+    got = {(r.owner, r.src): r.split for r in third.collect()}
+    assert got[902, "mix"] == got[2, "mix"] == splits.QUARANTINE
+    assert got[903, "p3"] == got[904, "p1"] == of[1]
+    fourth, members = splits.assign_splits(frame([(905, "mix"), (906, "big")]), "owner", "src", shares, members)
+    assert {r.owner: r.split for r in fourth.collect()} == {905: splits.QUARANTINE, 906: of[1]}
+    kept = members.where("kind != 'total'").groupBy("component").agg(F.collect_set("split").alias("s"))
+    assert all(len(r.s) == 1 for r in kept.collect())
+
+
 def test_source_paths(spark):
     df = spark.createDataFrame([("\t /A//b/ ",), ("  ",), (None,)], "p string")
     assert [r[0] for r in df.select(splits.source_path(F.col("p"))).collect()] == ["/a/b/", None, None]
