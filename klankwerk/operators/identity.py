@@ -85,17 +85,17 @@ def _blocks(df: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndarray,
         yield done()
 
 
-def resolve_block(spark: SparkSession, store: DataFrame, voices: list[tuple], threshold: float = THRESHOLD, compat: bool = False, next_id: int = 1) -> tuple[list[tuple], list[tuple], int]:
+def resolve_block(spark: SparkSession, store: DataFrame, voices: list[tuple], threshold: float = THRESHOLD, compat: bool = False, next_id: int = 1, dim: int | None = None) -> tuple[list[tuple], list[tuple], int]:
     """One block of ``(key, file, vector)`` in order against ``store`` (``id, embedding``).
 
     Gives ``(key, speaker id)`` of each voice, the new ``(id, vector)`` and the next free id. All usable vectors have
-    the length of the longest. A voice takes the most
+    the length ``dim``, or else of the longest. A voice takes the most
     similar speaker at ``threshold`` or above, ties to the lowest id; else it becomes a new one. With ``compat`` the
     new speakers of a file are not seen by the other voices of that file.
     """
     if not voices:
         return [], [], next_id
-    dim = max([len(v) for _, _, v in voices if v] or [1])
+    dim = dim or max([len(v) for _, _, v in voices if v] or [1])
     fine = [v if v and len(v) == dim and None not in v else [0.0] * dim for _, _, v in voices]
     units, good = _unit(fine)
     queries = spark.sparkContext.broadcast(units)
@@ -143,11 +143,11 @@ def resolve_block(spark: SparkSession, store: DataFrame, voices: list[tuple], th
 _STORE = T.StructType([T.StructField("id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
 
-def resolve_speakers(voices: DataFrame, store: DataFrame | None = None, threshold: float = THRESHOLD, compat: bool = False, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def resolve_speakers(voices: DataFrame, store: DataFrame | None = None, threshold: float = THRESHOLD, compat: bool = False, block: int = BLOCK, dim: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(``key, speaker_id``, the grown store) for ``key, file, seq, embedding`` taken in the order of file, seq and key.
 
     The assignment depends on its order, so blocks follow each other; each is one pass over the store. Voices without
-    a usable vector get ids of their own that match nothing.
+    a usable vector (of length ``dim``, or else of the longest in its block) get ids of their own that match nothing.
     """
     spark = voices.sparkSession
     grown = store if store is not None else spark.createDataFrame([], _STORE)
@@ -158,7 +158,7 @@ def resolve_speakers(voices: DataFrame, store: DataFrame | None = None, threshol
 
     def flush() -> None:
         nonlocal given, grown, next_id, waiting
-        some, fresh, next_id = resolve_block(spark, grown, waiting, threshold, compat, next_id)
+        some, fresh, next_id = resolve_block(spark, grown, waiting, threshold, compat, next_id, dim)
         given = given.unionByName(spark.createDataFrame(some, names))
         if fresh:
             grown = grown.select("id", "embedding").unionByName(staged(spark.createDataFrame(fresh, _STORE), "speakers"))

@@ -208,9 +208,9 @@ def nearest_speaker(spark, sf_dir):
 
 @query()
 def resolve_speakers(spark, sf_dir):
-    """Speaker of each voice, taken in the order of their ids, against those before it."""
+    """Speaker of each voice, taken in the order of their ids, against those before it; voices without a usable vector included."""
     voices = _voices(spark, sf_dir).select(F.col("id").alias("key"), F.lit(0).alias("file"), F.col("id").alias("seq"), "embedding")
-    return identity.resolve_speakers(voices.where(F.size("embedding") == 512))[0]
+    return identity.resolve_speakers(voices, dim=512)[0]
 
 
 # ---- timelines ----

@@ -326,6 +326,17 @@ def test_equal_vectors_resolve_to_one_speaker(spark):
     assert compat["a"] != compat["b"] and compat["c"] in (compat["a"], compat["b"])
 
 
+def test_voices_without_a_usable_vector_come_out(spark, tmp_path):
+    from klankwerk.plans import reference
+
+    one, at = [1.0] + [0.0] * 511, dt.datetime(2024, 3, 1)
+    data = [(1, [1.0], at), (2, one, at), (3, None, at), (4, one, at), (5, [1.0], at), (6, [0.0] * 512, at)]
+    spark.createDataFrame(data, K.SPEAKERS).write.parquet(f"{tmp_path}/speakers.parquet")
+    assert rows(reference.resolve_speakers(spark, str(tmp_path))) == [(1, 1), (2, 2), (3, 3), (4, 2), (5, 4), (6, 5)]
+    voices = spark.createDataFrame([(k, 0, k, v) for k, v, _ in data], "key int, file int, seq int, embedding array<float>")
+    assert rows(identity.resolve_speakers(voices, block=1, dim=512)[0]) == [(1, 1), (2, 2), (3, 3), (4, 2), (5, 4), (6, 5)]
+
+
 def test_similar_pairs_and_unusable_vectors(spark):
     data = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [1.0]), (7, [float("nan"), 1.0])]
     df = spark.createDataFrame(data, "id int, embedding array<float>")
