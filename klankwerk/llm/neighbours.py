@@ -1,10 +1,14 @@
 """The most similar vectors of every vector, by small-world graphs over shards whose results are merged.
 
-Equal directions are one class first. The classes are cut into shards of a bounded number of vectors by the nearest of
-a set of centroids (trained on a bounded sample), so that similar vectors mostly share a shard. Every shard becomes a
+Equal directions are one class first. The classes are cut into shards of a bounded number of vectors by centroids of two
+levels, so that similar vectors mostly share a shard: about sqrt(cells) upper centroids from a bounded sample, and for
+each upper cell lower centroids from a sample of its own vectors, as many as it has shards. Every shard becomes a
 hierarchical navigable small-world graph, kept as flat arrays of neighbours. Every vector is looked up in the shards
-of its nearest centroids, and the results of a vector's shards are merged. What a task holds is one shard and one
-block of queries; the number of shards grows with the vectors, the shards a vector visits do not.
+of its nearest lower centroids, found among those of its upper cell and the upper cells next to it, and the results of
+a vector's shards are merged. What a task holds is one shard and one block of queries, or one block of vectors and the
+lower centroids about it; the number of shards grows with the vectors, the shards a vector visits do not.
+
+Vectors travel packed without loss: numbers that are multiples of one power of two take a byte or two each.
 """
 
 from __future__ import annotations
@@ -22,13 +26,55 @@ from pyspark.sql import functions as F
 from klankwerk.runtime import staged
 
 SHARD, FULL = 3072, 4096
-QUERIES = 4096
-MAX_CENTROIDS = 8192
+QUERIES = 16_384
+ROUTED = 65_536
 SAMPLE = 65_536
-PROBES = 6
+PROBES = 5
+BESIDE = 4
 LINKS = 12
 CANDIDATES = 48
-BEAM = 40
+BEAM = 24
+
+
+# ---- packed vectors ----
+
+
+def pack_rows(x: np.ndarray) -> list[bytes]:
+    """Finite float32 rows as bytes: a byte for the width w, two for an exponent e, then integers of w bytes times 2**e.
+
+    Rows that fit no such integers of one or two bytes are kept as float32 (width 4, exponent 0). Nothing is lost.
+    """
+    bits = np.ascontiguousarray(x, dtype=np.float32).view(np.int32)
+    mantissa, power = (bits & 0x7FFFFF).astype(np.int64), (bits >> 23) & 0xFF
+    mantissa = np.where(power > 0, mantissa | 0x800000, mantissa)
+    lowest = mantissa & -mantissa
+    # the exponent of the lowest bit that is set in any number of the row
+    low = np.where(mantissa > 0, np.log2(np.maximum(lowest, 1)).astype(np.int64) + np.maximum(power, 1) - 150, 1000).min(axis=1)
+    low = np.where(low == 1000, 0, low).astype(np.int16)
+    whole = np.ldexp(x.astype(np.float64), -low.astype(np.int64)[:, None])
+    top = np.abs(whole).max(axis=1, initial=0)
+    out = []
+    for row, w, e, t in zip(x, whole, low, top):
+        if t <= 127:
+            out.append(b"\1" + e.tobytes() + w.astype(np.int8).tobytes())
+        elif t <= 32767:
+            out.append(b"\2" + e.tobytes() + w.astype(np.int16).tobytes())
+        else:
+            out.append(b"\4\0\0" + row.astype(np.float32).tobytes())
+    return out
+
+
+def unpack_rows(blobs: list[bytes], dim: int) -> np.ndarray:
+    """The float32 rows of ``pack_rows``."""
+    out = np.empty((len(blobs), dim), dtype=np.float32)
+    width = np.fromiter((b[0] for b in blobs), dtype=np.int64, count=len(blobs))
+    for w, kind in ((1, np.int8), (2, np.int16), (4, np.float32)):
+        at = np.flatnonzero(width == w)
+        if len(at):
+            raw = np.frombuffer(b"".join([blobs[i] for i in at.tolist()]), dtype=np.uint8).reshape(len(at), 3 + w * dim)
+            low = np.ascontiguousarray(raw[:, 1:3]).view(np.int16)[:, 0].astype(np.int32)
+            out[at] = np.ldexp(np.ascontiguousarray(raw[:, 3:]).view(kind).astype(np.float32), low[:, None])
+    return out
 
 
 # ---- one shard's graph ----
@@ -150,17 +196,17 @@ def search_graph(unit: np.ndarray, graph: dict[str, np.ndarray], queries: np.nda
         seen[np.arange(m), here] = True
         live = np.arange(m)
         while True:
-            # the two best of each query's beam that were not followed yet
+            # the best of each query's beam that were not followed yet
             open_ = np.where(done[live], -3.0, val[live])
-            two = np.argpartition(-open_, 1, axis=1)[:, :2] if beam > 2 else np.argsort(-open_, axis=1)[:, :2]
-            good = np.take_along_axis(open_, two, axis=1) > -2.5
+            few = np.argpartition(-open_, 1, axis=1)[:, :2] if beam > 2 else np.argsort(-open_, axis=1)[:, :2]
+            good = np.take_along_axis(open_, few, axis=1) > -2.5
             going = good.any(axis=1)
-            live, two, good = live[going], two[going], good[going]
+            live, few, good = live[going], few[going], good[going]
             if not len(live):
                 break
-            np.put_along_axis(sub := done[live], two, True, axis=1)
+            np.put_along_axis(sub := done[live], few, True, axis=1)
             done[live] = sub
-            nb = graph["base"][np.where(good, np.take_along_axis(ids[live], two, axis=1), 0)]
+            nb = graph["base"][np.where(good, np.take_along_axis(ids[live], few, axis=1), 0)]
             nb = np.where(good[:, :, None], nb, -1).reshape(len(live), -1)
             fresh = (nb >= 0) & ~seen[live[:, None], np.maximum(nb, 0)]
             r, c = np.nonzero(fresh)
@@ -206,8 +252,9 @@ def train_centroids(sample: np.ndarray, count: int, rounds: int = 8, seed: int =
 
 
 def _units(blobs, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(blobs), dtype=np.float32).reshape(-1, dim)
-    norm = np.linalg.norm(raw.astype(np.float64), axis=1)
+    """The vectors and their directions."""
+    raw = unpack_rows(list(blobs), dim)
+    norm = np.sqrt(np.einsum("ij,ij->i", raw, raw, dtype=np.float64))
     return raw, (raw / norm[:, None]).astype(np.float32)
 
 
@@ -215,7 +262,7 @@ def _units(blobs, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def usable_vectors(df: DataFrame, key: str, vector: str, when: str, dim: int) -> DataFrame:
-    """``id, v`` of the latest row of each key whose vector has ``dim`` finite numbers, not all zero; v is float32 bytes.
+    """``id, v`` of the latest row of each key whose vector has ``dim`` finite numbers, not all zero; v is packed.
 
     A key whose latest row is unusable does not come out. Ties on ``when`` go to the greater bytes.
     """
@@ -232,8 +279,8 @@ def usable_vectors(df: DataFrame, key: str, vector: str, when: str, dim: int) ->
                 flat = lists.take(pa.array(at)).flatten()
                 x = np.asarray(flat.cast(pa.float32()).fill_null(float("nan")), dtype=np.float32).reshape(-1, dim)
                 fine = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
-                for i, row in zip(at[fine], x[fine]):
-                    out[i] = row.tobytes()
+                for i, row in zip(at[fine].tolist(), pack_rows(x[fine])):
+                    out[i] = row
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.binary()), batch.column(2)], names=["id", "v", "w"])
 
     packed = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"), F.col(when).alias("w"))
@@ -241,6 +288,72 @@ def usable_vectors(df: DataFrame, key: str, vector: str, when: str, dim: int) ->
     return packed.groupBy("id").agg(F.max(F.struct("w", "v")).alias("r")).select("id", F.col("r.v").alias("v")).where("v IS NOT NULL")
 
 
+def _routed(heads: DataFrame, dim: int, count: int, shard: int, probes: int) -> DataFrame:
+    """``c, v, cells``: the cells of the ``probes`` nearest lower centroids of each vector, its own first.
+
+    Both levels are always there. The driver holds the upper centroids, sqrt(count / shard) of them; the lower ones are
+    a table of one row for each upper cell.
+    """
+    spark = heads.sparkSession
+    upper = int(np.ceil(np.sqrt(-(-count // shard))))
+    some = min(SAMPLE, 64 * upper + 1024)
+    sample = heads.where(_drawn(F.lit(min(1.0, 1.2 * some / count)))).select("v").limit(some)
+    tops = train_centroids(_units([bytes(r.v) for r in sample.collect()], dim)[1], upper)
+    shared = spark.sparkContext.broadcast(tops)
+
+    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                home = (_units(batch.column(1).to_pylist(), dim)[1] @ shared.value.T).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32))], names=["c", "v", "top"])
+
+    placed = staged(heads.mapInArrow(climb, "c binary, v binary, top int"), "placed")
+    sizes = staged(placed.groupBy("top").agg(F.count("*").alias("n")), "tops")
+    # as many lower centroids as the upper cell has shards, from 64 vectors each; from 8 where that is above SAMPLE
+    lower = F.ceil(F.col("n") / shard)
+    drawn = F.greatest(F.least(64 * lower + 256, F.lit(SAMPLE)), 8 * lower)
+    part = placed.join(F.broadcast(sizes), "top").where(_drawn(drawn / F.col("n"))).select("top", "v", lower.cast("int").alias("k"))
+
+    def train(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        centres = train_centroids(_units(rows["v"], dim)[1], int(rows["k"].iloc[0]))
+        return pd.DataFrame([{"other": key[0], "centres": centres.tobytes()}])
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    trained = staged(part.repartition(max(tasks, min(upper, 20_000)), "top").groupBy("top").applyInPandas(train, "other int, centres binary"), "centres")
+    # an upper cell looks at its own lower centroids and those of the upper cells nearest to it
+    beside = []
+    for lo in range(0, len(tops), 1024):
+        order = np.argsort(-(tops[lo : lo + 1024] @ tops.T), axis=1, kind="stable")[:, : BESIDE + 1]
+        beside += [(lo + i, int(t)) for i, row in enumerate(order) for t in row]
+    blocks = F.ceil(F.col("n") / ROUTED).cast("int")
+    around = spark.createDataFrame(beside, "top int, other int").join(trained, "other").join(F.broadcast(sizes.select("top", blocks.alias("blocks"))), "top")
+    around = around.select("top", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "other", "centres")
+    rows = placed.join(F.broadcast(sizes.select("top", blocks.alias("blocks"))), "top").select("top", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("block"), "c", "v")
+
+    def route(key: tuple, vectors: pd.DataFrame, holders: pd.DataFrame) -> pd.DataFrame:
+        if not len(vectors) or not len(holders):
+            return pd.DataFrame({"c": pd.Series(dtype=object), "v": pd.Series(dtype=object), "cells": pd.Series(dtype=object)})
+        holders = holders.sort_values("other")
+        mats = [np.frombuffer(x, dtype=np.float32).reshape(-1, dim) for x in holders["centres"]]
+        names = np.concatenate([(int(o) << 32) + np.arange(len(m)) for o, m in zip(holders["other"], mats)])
+        centres, cells = np.concatenate(mats), []
+        p = min(probes, len(centres))
+        for lo in range(0, len(vectors), 4096):
+            sims = _units(vectors["v"].iloc[lo : lo + 4096], dim)[1] @ centres.T
+            near = np.argpartition(-sims, p - 1, axis=1)[:, :p]
+            near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, axis=1), axis=1, kind="stable"), axis=1)
+            cells += names[near].tolist()
+        return pd.DataFrame({"c": vectors["c"], "v": vectors["v"], "cells": cells})
+
+    groups, place = max(tasks, min(2 * upper, 20_000)), ["top", "block"]
+    return rows.repartition(groups, *place).groupBy(*place).cogroup(around.repartition(groups, *place).groupBy(*place)).applyInPandas(route, "c binary, v binary, cells array<bigint>")
+
+
+def _drawn(rate):
+    """Whether the class is of a sample of that rate, by its hash."""
+    return F.pmod(F.xxhash64("c"), F.lit(1 << 30)) < rate * F.lit(1 << 30)
+
+
 def similar_vectors(vectors: DataFrame, dim: int, k: int = 5, least: float = -1.0, shard: int = SHARD, probes: int = PROBES, beam: int = BEAM) -> DataFrame:
     """``id, other, similarity``: for each vector its ``k`` most similar others, cosine rounded to 6 decimals.
 
@@ -264,50 +377,36 @@ def similar_vectors(vectors: DataFrame, dim: int, k: int = 5, least: float = -1.
     classed = staged(vectors.select("id", "v").mapInArrow(classify, f"id {kind}, v binary, c binary"), "classed")
     # the lowest ids of each class: the limit is applied before the shuffle as well, so a hot class stays small
     lowest = classed.withColumn("r", F.row_number().over(W.partitionBy("c").orderBy("id"))).where(F.col("r") <= keep)
-    heads = lowest.where("r = 1").select("c", "v")
-    members = staged(lowest.groupBy("c").agg(F.sort_array(F.collect_list("id")).alias("ids")), "members")
-    count = members.count()
+    lowest = staged(lowest.select("c", "id", F.when(F.col("r") == 1, F.col("v")).alias("v")), "lowest")
+    heads = lowest.where("v IS NOT NULL").select("c", "v")
+    members = lowest.groupBy("c").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    count = heads.count()
     if not count:
         return spark.createDataFrame([], f"id {kind}, other {kind}, similarity double")
 
-    # centroids, from a sample of bounded size
-    wanted = min(MAX_CENTROIDS, max(1, -(-count // shard)))
-    some = min(SAMPLE, 64 * wanted + 1024)
-    sample = heads.where(F.pmod(F.xxhash64("c"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, 1.2 * some / count)))).select("v").limit(some)
-    centres = spark.sparkContext.broadcast(train_centroids(_units([bytes(r.v) for r in sample.collect()], dim)[1], wanted))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = centres.value
-        for batch in batches:
-            if batch.num_rows:
-                _, unit = _units(batch.column(1).to_pylist(), dim)
-                sims = unit @ c.T
-                p = min(probes, len(c))
-                near = np.argpartition(-sims, p - 1, axis=1)[:, :p]
-                near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, axis=1), axis=1, kind="stable"), axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32).tolist(), type=pa.list_(pa.int32()))], names=["c", "v", "cells"])
-
-    routed = staged(heads.mapInArrow(route, "c binary, v binary, cells array<int>"), "routed")
-    # cells beyond a third more than the size of a shard are cut by hash; at most MAX_CENTROIDS rows reach the driver
-    visits = {r.cell: (int(r.home), int(r.n)) for r in routed.select(F.posexplode("cells").alias("pos", "cell")).groupBy("cell").agg(F.count_if(F.col("pos") == 0).alias("home"), F.count("*").alias("n")).collect()}
-    cells = spark.createDataFrame([(c, max(1, -(-h // (shard * FULL // SHARD))), max(1, -(-n // QUERIES))) for c, (h, n) in sorted(visits.items()) if h], "cell int, subs int, blocks int")
+    routed = staged(_routed(heads, dim, count, shard, probes), "routed")
+    # a cell with more than a third more than a shard holds is cut by hash, and a query visits all its parts
+    cells = routed.select(F.posexplode("cells").alias("pos", "cell")).groupBy("cell").agg(F.count_if(F.col("pos") == 0).alias("home"), F.count("*").alias("n"))
+    cells = cells.where("home > 0").select("cell", F.ceil(F.col("home") / (shard * FULL // SHARD)).cast("int").alias("subs"), F.ceil(F.col("n") / QUERIES).cast("int").alias("blocks"))
+    cells = staged(cells, "cells")
     hashed = F.xxhash64("c")
 
-    shards = routed.select("c", "v", F.col("cells")[0].alias("cell")).join(F.broadcast(cells), "cell")
+    shards = routed.select("c", "v", F.col("cells")[0].alias("cell")).join(cells, "cell")
     shards = shards.select("cell", F.pmod(hashed, F.col("subs")).cast("int").alias("sub"), "blocks", "c", "v", hashed.alias("h"))
 
     def build(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["h", "c"]).reset_index(drop=True)
-        raw, unit = _units(part["v"], dim)
-        graph = build_graph(unit, part["h"].to_numpy())
-        row = {"cell": key[0], "sub": key[1], "blocks": int(part["blocks"].iloc[0]), "n": len(part), "names": b"".join(part["c"]), "vectors": raw.tobytes()}
+        graph = build_graph(_units(part["v"], dim)[1], part["h"].to_numpy())
+        sizes = np.array([len(v) for v in part["v"]], dtype=np.int32)
+        row = {"cell": key[0], "sub": key[1], "blocks": int(part["blocks"].iloc[0]), "names": b"".join(part["c"]), "vectors": b"".join(part["v"]), "sizes": sizes.tobytes()}
         return pd.DataFrame([row | {g: graph[g].tobytes() for g in ("base", "upper", "heads")}])
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fields = "cell int, sub int, blocks int, n int, names binary, vectors binary, base binary, upper binary, heads binary"
-    index = staged(shards.repartition(max(tasks, len(visits)), "cell", "sub").groupBy("cell", "sub").applyInPandas(build, fields), "graphs")
+    groups = max(tasks, min(-(-count // shard), 20_000))
+    fields = "cell bigint, sub int, blocks int, names binary, vectors binary, sizes binary, base binary, upper binary, heads binary"
+    index = staged(shards.repartition(groups, "cell", "sub").groupBy("cell", "sub").applyInPandas(build, fields), "graphs")
 
-    asked = routed.select("c", "v", F.explode("cells").alias("cell")).join(F.broadcast(cells), "cell")
+    asked = routed.select("c", "v", F.explode("cells").alias("cell")).join(cells, "cell")
     asked = asked.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).select("cell", "sub", F.pmod(F.shiftrightunsigned(hashed, 20), F.col("blocks")).cast("int").alias("block"), "c", "v")
     served = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
@@ -316,13 +415,15 @@ def similar_vectors(vectors: DataFrame, dim: int, k: int = 5, least: float = -1.
         if not len(queries) or not len(holder):
             return pd.DataFrame({"c": pd.Series(dtype=object), "o": pd.Series(dtype=object), "s": pd.Series(dtype=float)})
         g = holder.iloc[0]
-        raw, unit = _units([g["vectors"]], dim)
+        ends = np.cumsum(np.frombuffer(g["sizes"], np.int32)).tolist()
+        raw, unit = _units([g["vectors"][a:b] for a, b in zip([0, *ends], ends)], dim)
         names = np.frombuffer(g["names"], dtype="V16")
         width = 2 * LINKS
         graph = {"base": np.frombuffer(g["base"], np.int32).reshape(-1, width), "upper": np.frombuffer(g["upper"], np.int32).reshape(-1, width + 1), "heads": np.frombuffer(g["heads"], np.int32)}
         q_raw, q_unit = _units(queries["v"], dim)
-        got, _ = search_graph(unit, graph, q_unit, k + 3, beam)
-        i, j = np.nonzero(got >= 0)
+        got, near = search_graph(unit, graph, q_unit, k + 3, beam)
+        # those clearly below the least similarity need no exact figure
+        i, j = np.nonzero((got >= 0) & (near > least - 1e-4))
         a, b = q_raw[i].astype(np.float64), raw[got[i, j]].astype(np.float64)
         s = np.round(np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b)), 6)
         own = np.frombuffer(b"".join(queries["c"]), dtype="V16")
@@ -331,7 +432,7 @@ def similar_vectors(vectors: DataFrame, dim: int, k: int = 5, least: float = -1.
         return pd.DataFrame({"c": [x.tobytes() for x in own[i][ok]], "o": [x.tobytes() for x in other[ok]], "s": s[ok]}, columns=columns)
 
     place = ["cell", "sub", "block"]
-    groups = max(tasks, min(8 * len(visits), 20_000))
+    groups = min(4 * groups, 20_000)
     found = asked.repartition(groups, *place).groupBy(*place).cogroup(served.repartition(groups, *place).groupBy(*place)).applyInPandas(look, "c binary, o binary, s double")
     # what one finds of the other holds both ways: a pair missed from one side comes in from the other
     found = staged(found, "found")
