@@ -26,14 +26,15 @@ from pyspark.sql import functions as F
 from klankwerk.runtime import staged
 
 SHARD, FULL = 3072, 4096
-QUERIES = 16_384
+QUERIES = 32_768
 ROUTED = 65_536
 SAMPLE = 65_536
 PROBES = 5
 BESIDE = 4
 LINKS = 12
 CANDIDATES = 48
-BEAM = 24
+BEAM = 16
+FAN = 4
 
 
 # ---- packed vectors ----
@@ -198,7 +199,7 @@ def search_graph(unit: np.ndarray, graph: dict[str, np.ndarray], queries: np.nda
         while True:
             # the best of each query's beam that were not followed yet
             open_ = np.where(done[live], -3.0, val[live])
-            few = np.argpartition(-open_, 1, axis=1)[:, :2] if beam > 2 else np.argsort(-open_, axis=1)[:, :2]
+            few = np.argpartition(-open_, FAN - 1, axis=1)[:, :FAN] if beam > FAN else np.argsort(-open_, axis=1)[:, :FAN]
             good = np.take_along_axis(open_, few, axis=1) > -2.5
             going = good.any(axis=1)
             live, few, good = live[going], few[going], good[going]
@@ -212,7 +213,7 @@ def search_graph(unit: np.ndarray, graph: dict[str, np.ndarray], queries: np.nda
             r, c = np.nonzero(fresh)
             node = nb[r, c]
             seen[live[r], node] = True
-            # a node may be a neighbour of both
+            # a node may be a neighbour of several
             pair = live[r] * n + node
             _, first = np.unique(pair, return_index=True)
             r, c, node = r[first], c[first], node[first]
