@@ -108,7 +108,8 @@ def quiet_boundaries(spans: DataFrame, item: str, start: str, end: str, slice_le
     each = points.withColumn("u", F.col("u").cast("long")).withColumn("d", F.col("d").cast("long")).unionByName(carried)
     w = W.partitionBy("i", "b").orderBy(F.col("t").asc_nulls_first())
     running = F.coalesce(F.sum("u").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) - F.sum("d").over(w.rowsBetween(W.unboundedPreceding, 0))
-    each = each.repartition("i", "b").groupBy("i", "b", "t").agg(F.sum("u").alias("u"), F.sum("d").alias("d"))
+    # reduced to one row per time in each split, then sent by slice
+    each = each.groupBy("i", "b", "t").agg(F.sum("u").alias("u"), F.sum("d").alias("d"))
     quiet = each.withColumn("running", running).where("d > 0 AND running = 0 AND t IS NOT NULL")
     return quiet.select(F.col("i").alias(item), F.col("t").alias("boundary"))
 
