@@ -37,14 +37,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "audio_events", "id", "chunk_id", "speaker_id", "start_time_sec", "end_time_sec")
-    # an id stands for one event; its repeats are equal in all columns
-    events = events.dropDuplicates(["id"]).where("chunk_id IS NOT NULL AND speaker_id IS NOT NULL")
-    return events.select("chunk_id", "speaker_id", millis(F.col("start_time_sec")).alias("s"), millis(F.col("end_time_sec")).alias("e"))
+    return events.select("id", "chunk_id", "speaker_id", millis(F.col("start_time_sec")).alias("s"), millis(F.col("end_time_sec")).alias("e"))
 
 
 def p4_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every period of speech, single turns included, and every silence between two of them."""
-    return periods_and_gaps(_turns(spark, sf_dir), ["chunk_id", "speaker_id"], "s", "e")
+    # an id stands for one event; its repeats are equal in all columns
+    return periods_and_gaps(_turns(spark, sf_dir), ["chunk_id", "speaker_id"], "s", "e", once="id")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

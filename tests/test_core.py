@@ -87,6 +87,21 @@ def test_periods_match_brute_force_across_slices(spark, spans):
     assert rows(periods_and_gaps(df, ["k"], "s", "e", slice_len=20)) == brute_periods(data)
 
 
+def test_periods_over_many_slices(spark):
+    rng = random.Random(11)
+    data = [(rng.randint(1, 3), s, s + rng.choice([1, 3, 8, 40, 200])) for s in (rng.randint(0, 3000) for _ in range(400))]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(data)] * 2, "i int, k int, s bigint, e bigint").withColumn("b", F.lit("clash"))
+    for width in (7, 60, 10**6):
+        assert rows(periods_and_gaps(df, ["k"], "s", "e", slice_len=width, once="i")) == brute_periods(data)
+
+
+def test_equal_starts_of_one_key_are_reduced_before_they_are_sent(spark):
+    same = spark.range(2_000_000).select(F.lit(1).alias("k"), F.lit(5).alias("s"), (F.col("id") % 1000 + 6).alias("e"), "id")
+    for once in (None, "id"):
+        found = periods_and_gaps(same, ["k"], "s", "e", once=once)
+        assert rows(found) == [(1, "period", 5, 1005, 2_000_000)]
+
+
 def test_periods_ignore_unusable_rows(spark):
     df = spark.createDataFrame([(1, 5, 5), (1, 9, 3), (None, 1, 2), (1, None, 2), (1, 1, None), (2, 0, 4), (2, 4, 6), (2, 0, 4)], "kind int, s bigint, e bigint")
     df = df.withColumnRenamed("kind", "who").withColumn("t", F.lit("clash"))
