@@ -162,17 +162,31 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- 9: spam pages ----
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "page_labels", "doc_id", "page_label")
+    return spam_pages(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang", labels)
+
+
 def p9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its distance from the clean texts of its language and the verdict."""
-    pages = spam_pages(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang")
-    return pages.select("doc_id", "lang", "n_words", F.round("density", 6).alias("density"), F.round("distance", 4).alias("distance"), "spam")
+    return _pages(spark, sf_dir).select("doc_id", "lang", "n_words", F.round("density", 6).alias("density"), F.round("distance", 4).alias("distance"), "spam")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p9_pages(spark, sf_dir).where("spam").select("doc_id")
+    return _pages(spark, sf_dir).where("spam").select("doc_id")
+
 
+def p9_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents the distance and the lean keep from being spam, each alone, and how that compares with more than half of the words outside sentences."""
+    near, away, dense = F.col("distance") <= F.col("bound"), F.col("lean") <= 0, F.col("density") > 0.5
+    count = lambda c, name: F.count_if(c).alias(name)
+    return _pages(spark, sf_dir).where("n_words > 0").agg(
+        F.count("*").alias("documents"), count(F.col("spam"), "spam"), count(near & ~away, "kept_by_distance_alone"), count(away & ~near, "kept_by_lean_alone"), count(near & away, "kept_by_both"),
+        count(dense & ~F.col("spam"), "dense_but_kept"), count(~dense & F.col("spam"), "spam_but_not_dense"), F.round(F.max("bound"), 4).alias("bound"),
+    )
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_balanced": p3_balanced, "p5_found": p5_found, "p5_sequences": p5_sequences, "p6_found": p6_found, "p6_splits": p6_splits, "p6_batches": p6_batches, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_near": p7_near, "p8_found": p8_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pages": p9_pages}
+
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_balanced": p3_balanced, "p5_found": p5_found, "p5_sequences": p5_sequences, "p6_found": p6_found, "p6_splits": p6_splits, "p6_batches": p6_batches, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_near": p7_near, "p8_found": p8_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pages": p9_pages, "p9_reasons": p9_reasons}
 
 _NEAREST = """
 with cur as (select id, arg_max(struct_pack(e := embedding), created_at).e e from speakers group by id),
@@ -193,6 +207,16 @@ with w as (
   from (select doc_id as id, 0 as k, text as x from documents union all select item_id, 1, text from eval_items) where x is not null),
 g as (select id, k, array_to_string(ws[i:i + 11], ' ') as gram from (select id, k, ws, unnest(range(1, len(ws) - 10)) as i from w where len(ws) >= 12))
 select distinct d.id as doc_id, e.id as item_id from g d join g e on d.gram = e.gram where d.k = 0 and e.k = 1
+""",
+    "p7_leaks": """
+with w as (
+  select row_number() over () as r, id, k, list_filter(regexp_extract_all(strip_accents(lower(regexp_replace(x, '\\[[^\\]]*\\]|\\([^)]*\\)', ' ', 'g'))), '[\\p{L}\\p{N}]+'),
+                            lambda v: v not in ('eh', 'ehm', 'uh', 'uhm', 'hm')) ws
+  from (select doc_id as id, 0 as k, text as x from documents union all select item_id, 1, text from eval_items) where x is not null and id is not null),
+g as (select r, id, k, i, len(ws) as n, array_to_string(ws[i:i + 11], ' ') as gram from (select *, unnest(range(1, len(ws) - 10)) as i from w where len(ws) >= 12)),
+m as (select distinct d.id as doc_id, e.id as item_id, e.n, e.i from g d join g e on d.gram = e.gram where d.k = 0 and e.k = 1)
+select doc_id, item_id, count(distinct i)::int as passages, count(distinct p)::int as matched_words, max(n)::int as item_words
+from (select *, unnest(range(i, i + 12)) as p from m) group by 1, 2
 """,
     "p7_near": """
 with w as (

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -431,13 +432,36 @@ def test_spam_is_told_from_prose(spark):
     part = [(2000 + k, " ".join(sentence() for _ in range(20)) + "\n" + x[: len(x) // 4], "nl") for k, x in enumerate(LISTS.values())]
     odd = [(3000, None, None), (3001, "", "nl"), (3002, " \n", "xx"), (3003, "lamp", "nl"), (3004, PROSE * 3000, "nl"), (3004, PROSE, "nl")]
     df = spark.createDataFrame(clean + bad + part + odd, "doc_id bigint, text string, lang string").withColumn("density", F.lit("clash"))
-    got = spam.spam_pages(df, "doc_id", "text", "lang").select("doc_id", "spam").collect()
+    votes = [(k, "spam") for k in range(1000, 1003)] + [(k, "ok") for k in (*range(40), 2000, 2001, 2004)] + [(7, "spam"), (9999, "spam"), (None, "ok"), (3, None)]
+    labels = spark.createDataFrame(votes, "doc_id bigint, page_label string").withColumn("density", F.lit("clash"))
+    got = spam.spam_pages(df, "doc_id", "text", "lang", labels).select("doc_id", "spam").collect()
     assert len(got) == len(clean + bad + part + odd)
     assert {r.doc_id for r in got if r.spam and r.doc_id not in (3003,)} == {b[0] for b in bad}
-    assert spam.spam_pages(df.limit(0), "doc_id", "text", "lang").count() == 0
-
-
-def test_featurizer_bounds_what_it_keeps(monkeypatch):
-    monkeypatch.setattr(spam, "CACHE", 8)
-    f = spam.Featurizer()
-    assert f(" ".join(f"w{k}" for k in range(50)), None)[1] == 50 and len(f.known) <= 8
+    assert spam.spam_pages(df.limit(0), "doc_id", "text", "lang", labels).count() == 0
+    assert spam.spam_pages(df, "doc_id", "text", "lang", labels.limit(0)).where("spam AND doc_id >= 1000 AND doc_id < 1005").count() == 5
+
+
+def test_function_words_are_those_most_documents_use(spark):
+    docs = [("de kat en de hond", "nl"), ("de hond en een kat", "NL"), ("de vis en", " nl-BE"), ("the cat", "en"), ("the dog", "en"), (None, "en"), ("", "de"), ("x", None), ("y", "und")]
+    assert spam.learn_function_words(spark.createDataFrame(docs, "t string, g string"), "t", "g") == {"nl": ["de", "en"], "en": ["the"]}
+
+
+def test_numbers_of_a_text_do_not_depend_on_the_others():
+    lists = {"nl": ["de", "het", "van", "was"], "en": ["the", "was"]}
+    texts = ["de kat van het huis was hier", "", None, "lamp " * 40, "#a #b http://x.y/z", "\u00a0de\u2003kat  \n", PROSE * 50, "the cat was the the"]
+    told = ["nl", "nl", None, "en", None, "nl", None, None]
+    whole = spam.measure_texts(pa.array(texts), told, lists)
+    for k, (t, g) in enumerate(zip(texts, told)):
+        one = spam.measure_texts(pa.array([t], type=pa.string()), [g], lists)
+        assert all(one[c][0] == whole[c][k] for c in one)
+        assert one["n_words"][0] == len((t or "").split())
+    assert whole["lang"] == ["nl", "und", "und", "en", "und", "nl", "nl", "en"]
+    assert whole["repetition"][3] == 1.0 and whole["density"][3] == 1.0 and whole["links"][4] == 1.0
+    assert abs(whole["entropy"][0] - 1.0) < 1e-9 and whole["density"][0] == 0.0
+    assert spam.measure_texts(pa.array(["a b"]), [None], {})["density"][0] == 1.0
+
+
+def test_bounds_part_labels_best():
+    d, s = np.array([1.0, 2, 3, 9, 30, 40, 50]), np.array([0, 0, 0, 0, 1, 0, 1], dtype=bool)
+    assert spam.calibrated_bound(d, s) == 19.5
+    assert spam.calibrated_bound(d, s & False) is None and spam.calibrated_bound(d[:0], s[:0]) is None
