@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ from klankwerk.llm.mixing import mix, token_counts
 from klankwerk.llm.neighbours import similar_vectors, usable_vectors
 from klankwerk.llm.pieces import CutCost, split_items
 from klankwerk.llm.spam import spam_pages
-from klankwerk.llm.splits import assign_splits, components, source_path
-from klankwerk.runtime import latest, millis, table
+from klankwerk.llm.splits import assign_splits, components, load_members, save_members, source_path
+from klankwerk.runtime import latest, millis, shared_dir, table
 
 LIMIT_MS, OVERLAP_MS, CAPACITY = 600_000, 15_000, 3072
 
@@ -100,15 +102,27 @@ def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_splits(rows, "owner", "source_path", SHARES)[0].select("chunk_id", "source_path", "chunk_owner", "split")
 
 
-def p6_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of processed_chunks with its split, taken in two batches: the second, from halfway of the export times on, extends the components of the first."""
+def _in_batches(spark: SparkSession, sf_dir: str, batches: int = 3) -> tuple[DataFrame, str]:
+    """Every row of processed_chunks with its batch and split, and the folder of the component table's versions.
+
+    The batches are equal stretches of the export times (rows without one are in the first); each loads the version
+    the one before it saved and saves its own.
+    """
     rows = _owned(table(spark, sf_dir, "processed_chunks", "chunk_id", "exported_at", "chunk_owner", "source_file"))
-    first, last = rows.agg(F.min("exported_at"), F.max("exported_at")).first()
-    early = F.coalesce(F.col("exported_at") < F.lit(first + (last - first) / 2 if first else None), F.lit(False))
-    done, members = assign_splits(rows.where(early), "owner", "source_path", SHARES)
-    more, _ = assign_splits(rows.where(~early), "owner", "source_path", SHARES, members)
-    both = done.withColumn("batch", F.lit(1)).unionByName(more.withColumn("batch", F.lit(2)))
-    return both.select("chunk_id", "source_path", "chunk_owner", "batch", "split")
+    first, last = rows.agg(F.min(F.unix_micros("exported_at")), F.max(F.unix_micros("exported_at"))).first()
+    width = ((last or 0) - (first or 0)) // batches + 1
+    rows = rows.withColumn("batch", F.coalesce(F.floor((F.unix_micros("exported_at") - F.lit(first or 0)) / width), F.lit(0)).cast("int") + 1)
+    folder, out = f"{shared_dir(spark)}/klankwerk/component_table-{uuid.uuid4().hex[:12]}", None
+    for b in range(1, batches + 1):
+        done, members = assign_splits(rows.where(F.col("batch") == b), "owner", "source_path", SHARES, load_members(spark, folder, b - 1) if b > 1 else None)
+        save_members(members, folder, b)
+        out = done if out is None else out.unionByName(done)
+    return out, folder
+
+
+def p6_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of processed_chunks with its split, taken in three batches through the saved component table."""
+    return _in_batches(spark, sf_dir)[0].select("chunk_id", "source_path", "chunk_owner", "batch", "split")
 
 
 # ---- 7: test items in the corpus ----

@@ -278,6 +278,49 @@ def test_an_old_conflict_leaves_the_components_their_splits(spark):
     assert all(len(r.s) == 1 for r in kept.collect())
 
 
+def test_three_batches_through_a_saved_table_follow_the_rules(spark, tmp_path):
+    rng, shares, table = random.Random(12), {"a": 0.6, "b": 0.4}, str(tmp_path / "table")
+    known = {}
+    for batch in range(3):
+        wide = 60 * (batch + 1)
+        data = [(rng.choice([None, 1, rng.randint(1, wide)]), rng.choice([None, f"s{rng.randint(1, wide)}"])) for _ in range(70)] + [(5000 + batch * 100 + i, f"t{batch}-{i}") for i in range(60)]
+        ends = [next(int(n) for (kind, n), v in known.items() if kind == "owner" and v == x) for x in shares] if known else []
+        data += [(o, f"mix{batch}") for o in ends] + [(8000 + batch, f"mix{batch}")]
+        df = spark.createDataFrame(data, "owner bigint, src string").withColumn("_salt", F.lit("clash")).repartition(3)
+        done, members = splits.assign_splits(df, "owner", "src", shares, splits.load_members(spark, table, batch))
+        splits.save_members(members, table, batch + 1)
+        got = defaultdict(set)
+        for r in done.collect():
+            got[r.owner, r.src].add(r.split)
+        assert sum(1 for _ in data) == done.count()
+        after = {(r.kind, r.name): r.split for r in splits.load_members(spark, table, batch + 1).where("kind != 'total'").collect()}
+        assert all(after[k] == v for k, v in known.items())
+        of = lambda o, s: [("owner", str(o))] * (o is not None) + [("source", s)] * (s is not None)
+        # groups of new ones, what each is joined to, and what that makes of it
+        up = roots_by_force([(x, y) for o, s in data for x in of(o, s) for y in of(o, s) if x not in known and y not in known])
+        reach = defaultdict(set)
+        for o, s in data:
+            for x in of(o, s):
+                reach[up.get(x)] |= {known[y] for y in of(o, s) if y in known}
+        for x, r in up.items():
+            if reach[r]:
+                assert after[x] == (next(iter(reach[r])) if len(reach[r]) == 1 else splits.QUARANTINE)
+            else:
+                assert after[x] == after[r] and after[x] in shares
+        for o, s in set(data):
+            ways = {after[x] for x in of(o, s)}
+            if ways:
+                assert got[o, s] == (ways if len(ways) == 1 else {splits.QUARANTINE})
+        names = defaultdict(set)
+        for r in members.where("kind != 'total'").collect():
+            names[r.component].add(r.split)
+        assert all(len(x) == 1 for x in names.values())
+        known = after
+    assert splits.QUARANTINE in known.values()
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        splits.save_members(members, table, 3)
+
+
 def test_source_paths(spark):
     df = spark.createDataFrame([("\t /A//b/ ",), ("  ",), (None,)], "p string")
     assert [r[0] for r in df.select(splits.source_path(F.col("p"))).collect()] == ["/a/b/", None, None]
