@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -150,13 +151,15 @@ def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- 8: the mix ----
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+VOCABULARY = os.environ.get("KLANKWERK_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+#: How that vocabulary parts a text into words: a fixed value of the public byte-level vocabularies.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, sf_dir: str, make_up: bool = False) -> tuple[DataFrame, DataFrame]:
     texts = table(spark, sf_dir, "documents", "doc_id", "source", "text")
-    sized = token_counts(texts, "text", VOCABULARY, "doc_id", "source")
-    return mix(sized, "doc_id", "source", "n_tokens", table(spark, sf_dir, "mix_targets"), "source", "target_share", "max_repeats")
+    sized = token_counts(texts, "text", VOCABULARY, WORDS, "doc_id", "source")
+    return mix(sized, "doc_id", "source", "n_tokens", table(spark, sf_dir, "mix_targets"), "source", "target_share", "max_repeats", make_up=make_up)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,6 +176,11 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p8_made_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached where the other sources take over what the capped ones leave open."""
+    return _mix(spark, sf_dir, make_up=True)[1]
+
+
 # ---- 9: spam pages ----
 
 
@@ -200,7 +208,7 @@ def p9_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_balanced": p3_balanced, "p5_found": p5_found, "p5_sequences": p5_sequences, "p6_found": p6_found, "p6_splits": p6_splits, "p6_batches": p6_batches, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_near": p7_near, "p8_found": p8_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_pages": p9_pages, "p9_reasons": p9_reasons}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_balanced": p3_balanced, "p5_found": p5_found, "p5_sequences": p5_sequences, "p6_found": p6_found, "p6_splits": p6_splits, "p6_batches": p6_batches, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_near": p7_near, "p8_found": p8_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_made_up": p8_made_up, "p9_found": p9_found, "p9_pages": p9_pages, "p9_reasons": p9_reasons}
 
 _NEAREST = """
 with cur as (select id, arg_max(struct_pack(e := embedding), created_at).e e from speakers group by id),

@@ -414,6 +414,11 @@ def test_flight_keeps_both_sums():
     assert mixing.flight([5.0] * 10, [0.5] * 10, rng).count(1.0) in (4, 5)
 
 
+def test_settling_turns_few_draws_round():
+    assert mixing.settle([5.0, 3.0, 100.0], [1.0, 0.0, 1.0], 5.0) == [0.0, 0.0, 1.0]
+    assert mixing.settle([5.0, 3.0], [1.0, 0.0], 1.0) == [1.0, 0.0] and mixing.settle([], [], 3.0) == []
+
+
 def test_flight_is_unbiased():
     hits = np.zeros(6)
     for k in range(4000):
@@ -446,11 +451,32 @@ def test_mix_reaches_its_shares(spark, monkeypatch):
     assert empty[0].count() == 0 and empty[1].where("mix_tokens != 0").count() == 0
 
 
+def test_what_capped_sources_leave_open_can_be_made_up():
+    assert mixing._rise([(50.0, 20.0), (50.0, 500.0)], 100) == 1.6
+    assert mixing._rise([(50.0, 20.0), (30.0, 36.0), (20.0, 500.0)], 100) == (100 - 56) / 20
+    assert mixing._rise([(50.0, 500.0), (50.0, 500.0)], 100) == 1.0
+    assert mixing._rise([(0.0, 5.0)], 100) == 1.0 and mixing._rise([], 0) == 1.0
+
+
+def test_a_made_up_mix_has_its_size(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(k, "abc"[k % 3], rng.randint(1, 300)) for k in range(1500)], "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("a", 0.7, 1), ("b", 0.2, 2), ("c", 0.1, 2)], "source string, target_share double, max_repeats int")
+    total = df.agg(F.sum("n_tokens")).first()[0]
+    for made_up in (False, True):
+        _, report = mixing.mix(df, "doc_id", "source", "n_tokens", targets, "source", "target_share", "max_repeats", make_up=made_up)
+        got = {r.source: r for r in report.collect()}
+        assert got["a"].limited and got["a"].mix_tokens == got["a"].own_tokens == got["a"].share_tokens - got["a"].open_tokens
+        assert all(abs(r.mix_tokens - r.wanted_tokens) <= 3 for r in got.values())
+        assert (abs(sum(r.mix_tokens for r in got.values()) - total) <= 6) == made_up
+        assert abs(got["b"].mix_tokens - 2 * got["c"].mix_tokens) <= 6
+
+
 def test_tokens_are_counted_in_whole_texts(spark):
     texts = ["hello world", "", "x" * 50_000, "<|endoftext|>", None, "é́ \n\n\t 日本"]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string")
-    got = dict(rows(mixing.token_counts(df, "text", queries.VOCABULARY, "doc_id")))
-    encoder = mixing._encoder(queries.VOCABULARY)
+    got = dict(rows(mixing.token_counts(df, "text", queries.VOCABULARY, queries.WORDS, "doc_id")))
+    encoder = mixing._encoder(queries.VOCABULARY, queries.WORDS)
     assert got == {k: len(encoder.encode_ordinary(t)) for k, t in enumerate(texts) if t is not None}
 
 
