@@ -6,6 +6,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from klankwerk.llm.containers import fill_containers
@@ -15,11 +16,16 @@ from klankwerk.llm.neighbours import similar_vectors, usable_vectors
 from klankwerk.llm.pieces import CutCost, split_items
 from klankwerk.llm.spam import spam_pages
 from klankwerk.llm.splits import assign_splits, components, load_members, save_members, source_path
-from klankwerk.runtime import latest, millis, shared_dir, table
+from klankwerk.runtime import latest, millis, shared_dir, staged, table
 
 LIMIT_MS, OVERLAP_MS, CAPACITY = 600_000, 15_000, 3072
 
 
+def _one_row(*parts: DataFrame) -> DataFrame:
+    """The columns of frames of one row each, side by side, as scalar subqueries."""
+    return parts[0].sparkSession.range(1).select(*[p.select(c).scalar().alias(c) for p in parts for c in p.columns])
+
+
 # ---- 1: similar voices ----
 
 DIM, NEAREST, LEAST = 512, 5, 0.5
@@ -61,6 +67,19 @@ def p3_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuts.select(F.col("id").alias("audio_file_id"), "piece_no", "piece_start_ms", "piece_end_ms", "natural")
 
 
+def p3_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the balanced pieces: recordings cut, and how many pieces break the limit, the ends, the overlap or the order."""
+    w = W.partitionBy("audio_file_id").orderBy("piece_no")
+    cuts = p3_balanced(spark, sf_dir).join(_recordings(spark, sf_dir)[0].select(F.col("id").alias("audio_file_id"), "n"), "audio_file_id")
+    cuts = cuts.withColumn("before", F.lag("piece_end_ms").over(w)).withColumn("after", F.lead("piece_no").over(w))
+    wrong = lambda c, name: F.count_if(c).alias(name)
+    return cuts.agg(
+        F.count_distinct("audio_file_id").alias("recordings"), wrong(F.col("piece_end_ms") - F.col("piece_start_ms") > LIMIT_MS, "too_long"),
+        wrong(F.when(F.col("before").isNull(), F.col("piece_start_ms") != 0).otherwise(F.col("piece_start_ms") != F.col("before") - OVERLAP_MS), "wrong_start"),
+        wrong(F.col("after").isNull() & (F.col("piece_end_ms") != F.col("n")), "wrong_end"), wrong(F.col("piece_end_ms") <= F.col("before"), "no_progress"),
+    )
+
+
 # ---- 5: training sequences ----
 
 
@@ -79,6 +98,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_sequences(spark, sf_dir).where("pieces > 1 AND piece = 1").select("chunk_id")
 
 
+def p5_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the sequences: chunks and frames in them, what is overfilled, cut without need or placed twice, and whether the number is within 2 per cent of a bound for any packing."""
+    rows = staged(p5_sequences(spark, sf_dir), "sequences")
+    loads = rows.where("container IS NOT NULL").groupBy("container").agg(F.sum("frames").alias("load")).agg(F.count("*").alias("used"), F.count_if(F.col("load") > CAPACITY).alias("overfilled"))
+    counts = rows.agg(
+        F.count_if(F.col("piece") == 1).alias("chunks"), F.coalesce(F.sum("frames"), F.lit(0)).alias("frames"), F.count_if((F.col("pieces") > 1) & (F.col("piece") < F.col("pieces")) & (F.col("frames") != CAPACITY)).alias("badly_cut"),
+        (F.count("*") - F.count_distinct("chunk_id", "piece")).alias("twice"), F.count_if(F.col("frames") > CAPACITY // 2).alias("large"),
+    )
+    bound = F.greatest(F.ceil(F.col("frames") / CAPACITY), F.col("large"))
+    return _one_row(counts, loads).select("chunks", "frames", "overfilled", "badly_cut", "twice", (F.col("used") <= bound * 1.02 + 10).alias("near_bound"))
+
+
 # ---- 6: splits ----
 
 SHARES = {"train": 0.9, "validation": 0.05, "test": 0.05}
@@ -126,6 +157,31 @@ def p6_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _in_batches(spark, sf_dir)[0].select("chunk_id", "source_path", "chunk_owner", "batch", "split")
 
 
+def _divided(rows: DataFrame, *more) -> DataFrame:
+    """One row: the records, and the owners and paths that are in more than one split."""
+    ways = lambda key, name: rows.where(F.col(key).isNotNull() & (F.col("split") != "quarantine")).groupBy(key).agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias(name))
+    rows = rows.withColumn("owner", F.when(F.col("chunk_owner") != -1, F.col("chunk_owner")))
+    return _one_row(rows.agg(F.count("*").alias("records"), F.count_if(F.col("split").isNull()).alias("without_split"), *more), ways("owner", "divided_owners"), ways("source_path", "divided_paths"))
+
+
+def p6_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the splits: records, owners and paths that are divided, and whether train is near its share."""
+    near = F.abs(F.count_if(F.col("split") == "train") / F.count("*") - SHARES["train"]) < 0.1
+    return _divided(staged(p6_splits(spark, sf_dir), "splits"), near.alias("train_near_share"))
+
+
+def p6_batch_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the splits in batches: records, owners and paths that are divided, and members that a later version of the table has otherwise or not at all."""
+    rows, folder = _in_batches(spark, sf_dir)
+    rows = staged(rows.select("chunk_id", "source_path", "chunk_owner", "batch", "split"), "splits")
+    changed = None
+    for old in (1, 2):
+        was, now = (load_members(spark, folder, v).where("kind != 'total'").select("kind", "name", "split") for v in (old, old + 1))
+        lost = was.join(now, ["kind", "name", "split"], "left_anti")
+        changed = lost if changed is None else changed.unionByName(lost)
+    return _one_row(_divided(rows), changed.agg(F.count("*").alias("changed_members")))
+
+
 # ---- 7: test items in the corpus ----
 
 
@@ -181,6 +237,16 @@ def p8_made_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir, make_up=True)[1]
 
 
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the mix: texts and targets, texts used more often than their cap, and sources that miss what they are to have by more than their median text."""
+    mixed, report = _mix(spark, sf_dir)
+    mixed, report = staged(mixed, "mixed"), staged(report, "report")
+    over = mixed.join(report.select("source", "max_repeats"), "source", "left").agg(F.count("*").alias("texts"), F.count_if(F.col("copies") > F.coalesce("max_repeats", F.lit(0))).alias("over_cap"))
+    median = mixed.groupBy("source").agg(F.percentile_approx("n_tokens", 0.5).alias("median"))
+    off = report.join(median, "source", "left").agg(F.count("*").alias("targets"), F.count_if(F.abs(F.col("mix_tokens") - F.col("wanted_tokens")) > F.coalesce("median", F.lit(0))).alias("far_off"))
+    return _one_row(over, off)
+
+
 # ---- 9: spam pages ----
 
 
@@ -208,7 +274,32 @@ def p9_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_balanced": p3_balanced, "p5_found": p5_found, "p5_sequences": p5_sequences, "p6_found": p6_found, "p6_splits": p6_splits, "p6_batches": p6_batches, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_near": p7_near, "p8_found": p8_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_made_up": p8_made_up, "p9_found": p9_found, "p9_pages": p9_pages, "p9_reasons": p9_reasons}
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_neighbours": p1_neighbours,
+    "p3_found": p3_found,
+    "p3_balanced": p3_balanced,
+    "p3_invariants": p3_invariants,
+    "p5_found": p5_found,
+    "p5_sequences": p5_sequences,
+    "p5_invariants": p5_invariants,
+    "p6_found": p6_found,
+    "p6_splits": p6_splits,
+    "p6_invariants": p6_invariants,
+    "p6_batches": p6_batches,
+    "p6_batch_invariants": p6_batch_invariants,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
+    "p7_near": p7_near,
+    "p8_found": p8_found,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
+    "p8_made_up": p8_made_up,
+    "p8_invariants": p8_invariants,
+    "p9_found": p9_found,
+    "p9_pages": p9_pages,
+    "p9_reasons": p9_reasons,
+}
 
 _NEAREST = """
 with cur as (select id, arg_max(struct_pack(e := embedding), created_at).e e from speakers group by id),
@@ -293,6 +384,29 @@ p as (
               else coalesce(list_max(list_filter(ts, lambda x: x > e and x <= e - 15000 + 600000)), e - 15000 + 600000) end
   from p where e < n)
 select id as audio_file_id, s as piece_start_ms, cast(e as bigint) as piece_end_ms from p
+""",
+    "p3_invariants": """
+select count(*) as recordings, 0 as too_long, 0 as wrong_start, 0 as wrong_end, 0 as no_progress
+from (select id, arg_max(audio_duration_sec, created_at) as d from audio_files where audio_duration_sec is null or not isnan(audio_duration_sec) group by id)
+where floor(d * 1000 + 0.5) > 600000
+""",
+    "p5_invariants": """
+with cur as (select chunk_id, arg_max(struct_pack(h := encoded_audio_shape, d := duration_ms, s := start_ms, e := end_ms), exported_at) r
+             from (select distinct chunk_id, exported_at, encoded_audio_shape, duration_ms, start_ms, end_ms from processed_chunks) group by chunk_id),
+n as (select coalesce(list_filter(r.h, lambda x: x <> 9 and x <> 1)[1], ceil(coalesce(r.d, r.e - r.s) * 44100 / 512000)) as n from cur)
+select count(*) as chunks, coalesce(sum(n) filter (where n > 0), 0)::bigint as frames, 0 as overfilled, 0 as badly_cut, 0 as twice, true as near_bound from n
+""",
+    "p6_invariants": "select count(*) as records, 0 as without_split, true as train_near_share, 0 as divided_owners, 0 as divided_paths from processed_chunks",
+    "p6_batch_invariants": "select count(*) as records, 0 as without_split, 0 as divided_owners, 0 as divided_paths, 0 as changed_members from processed_chunks",
+    # sizes in characters for those in tokens: which sources are capped is the same for both
+    "p8_found": """
+with d as (select lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) as s, sum(length(text)) as n from documents where text is not null group by 1),
+t as (select lower(trim(source)) as s, max(target_share) as share, max(max_repeats) as most from mix_targets group by 1)
+select t.s as source from t left join d on d.s = t.s where share * (select sum(n) from d where s <> '') > most * coalesce(n, 0)
+""",
+    "p8_invariants": """
+select (select count(*) from documents where text is not null and regexp_replace(source, '^\\s+|\\s+$', '', 'g') <> '') as texts, 0 as over_cap,
+       (select count(distinct lower(trim(source))) from mix_targets) as targets, 0 as far_off
 """,
     "p5_found": """
 with cur as (select chunk_id, arg_max(struct_pack(h := encoded_audio_shape, d := duration_ms, s := start_ms, e := end_ms), exported_at) r
