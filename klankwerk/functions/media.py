@@ -7,6 +7,8 @@ on its input alone, so that pipelines can be tested without a model.
 from __future__ import annotations
 
 import hashlib
+import io
+import wave
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -100,6 +102,116 @@ def encode_audio(content: Column, factory: Callable[[], Callable[[bytes], np.nda
     return run(content)
 
 
+def decode_audio(codes: Column, factory: Callable[[], Callable[[np.ndarray], np.ndarray]] | None = None, hop: int = 512) -> Column:
+    """Samples of codec codes, ``array<float>``; null where the decoder fails. The stand-in holds each frame's mean for a hop."""
+
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = factory() if factory else (lambda x: np.repeat(x.mean(axis=1) / CODEBOOK * 2 - 1, hop))
+        for batch in batches:
+            out = []
+            for frames in batch:
+                try:
+                    out.append(np.asarray(model(np.array([list(f) for f in frames])), dtype=np.float32).tolist())
+                except Exception:  # told by the null
+                    out.append(None)
+            yield pd.Series(out, dtype=object)
+
+    return run(codes)
+
+
+def generate(text: Column, prompt: Column | None = None, factory: Callable[[], Callable[[list[int], list | None], np.ndarray]] | None = None) -> Column:
+    """Codes a model says for text tokens and a prompt of codes; null where it fails. The stand-in draws from the text."""
+
+    @F.pandas_udf("array<array<int>>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        def stand_in(tokens: list[int], start: list | None) -> np.ndarray:
+            said = (_draw(bytes(t % 256 for t in tokens), "speech", (1 + sum(t > 0 for t in tokens)) * CHANNELS) * CODEBOOK).astype(int).reshape(-1, CHANNELS)
+            return np.concatenate([np.array([list(f) for f in start]), said]) if start is not None and len(start) else said
+
+        model = factory() if factory else stand_in
+        for texts, prompts in batches:
+            out = []
+            for tokens, start in zip(texts, prompts):
+                try:
+                    out.append(np.asarray(model(list(tokens), start), dtype=np.int32).tolist())
+                except Exception:  # told by the null
+                    out.append(None)
+            yield pd.Series(out, dtype=object)
+
+    return run(text, prompt if prompt is not None else F.lit(None).cast("array<array<int>>"))
+
+
+# ---- waveforms ----
+
+WAVE = "rate int, channels int, samples array<float>"
+
+
+def resampled(samples: np.ndarray, rate: int, wanted: int) -> np.ndarray:
+    """The band-limited waveform at another rate, by its spectrum; frequencies the new rate cannot hold are cut off."""
+    n = len(samples)
+    m = int(round(n * wanted / rate))
+    if n == 0 or m == 0 or m == n:
+        return samples[:m]
+    spectrum, kept = np.fft.rfft(samples), np.zeros(m // 2 + 1, dtype=complex)
+    k = min(len(spectrum), len(kept))
+    kept[:k] = spectrum[:k]
+    return np.fft.irfft(kept, m) * (m / n)
+
+
+def load_wave(content: Column, rate: int = 44_100) -> Column:
+    """``rate, channels, samples`` of PCM waves of 1 to 4 bytes a sample, mixed to mono at ``rate``; null for anything else.
+
+    ``channels`` is that of the file. Samples are in -1 to 1.
+    """
+
+    @F.pandas_udf(WAVE)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for blob in batch:
+                try:
+                    with wave.open(io.BytesIO(bytes(blob))) as w:
+                        width, channels, own, raw = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
+                    if width == 1:
+                        x = np.frombuffer(raw, np.uint8).astype(np.float64) - 128
+                    elif width == 3:
+                        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+                        x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8).astype(np.float64)
+                    else:
+                        x = np.frombuffer(raw, {2: np.int16, 4: np.int32}[width]).astype(np.float64)
+                    mono = (x / float(1 << (8 * width - 1))).reshape(-1, channels).mean(axis=1)
+                    out.append((rate, channels, resampled(mono, own, rate).astype(np.float32).tolist()))
+                except Exception:  # told by the null
+                    out.append((None, None, None))
+            yield pd.DataFrame(out, columns=["rate", "channels", "samples"]).astype({"rate": "Int32", "channels": "Int32"})
+
+    return run(content)
+
+
+def save_wave(samples: Column, rate: int = 44_100) -> Column:
+    """A mono wave of 16 bits of samples in -1 to 1, clipped to that; null samples give null."""
+
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for x in batch:
+                if x is None:
+                    out.append(None)
+                    continue
+                file = io.BytesIO()
+                with wave.open(file, "wb") as w:
+                    w.setnchannels(1)
+                    w.setsampwidth(2)
+                    w.setframerate(rate)
+                    w.writeframes((np.clip(np.asarray(x, dtype=np.float64), -1, 1) * 32767).round().astype("<i2").tobytes())
+                out.append(file.getvalue())
+            yield pd.Series(out, dtype=object)
+
+    return run(samples)
+
+
 def is_readable(content: Column, factory: Callable[[], Callable[[bytes], bool]] | None = None) -> Column:
     """Whether a probe takes the file for audio; the stand-in asks for any content. False where the probe fails."""
 

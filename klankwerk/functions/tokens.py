@@ -81,3 +81,18 @@ def prefilled(prompt: Column, length: int, delay: Sequence[int] = DELAY, channel
     row = lambda v: F.array_repeat(F.lit(v), channels)
     body = F.concat(F.array(row(BOS)), F.coalesce(prompt, F.array().cast("array<array<int>>")), F.array_repeat(row(-1), max(delay)))
     return F.slice(delayed(body, delay, BOS, -1), 1, length)
+
+
+def guidance_pair(tokens: Column) -> Column:
+    """The unconditional and the conditional input of guided generation: zeros of the same length, then the tokens."""
+    return F.array(F.transform(tokens, lambda _: F.lit(0)), F.transform(tokens, lambda x: x.cast("int")))
+
+
+def repeated(frames: Column, times: int = 2) -> Column:
+    """``times`` copies of an array side by side, a batch of equal rows."""
+    return F.array_repeat(frames, times)
+
+
+def first_steps(frames: Column, length: Column | int) -> Column:
+    """The first ``length`` steps of a sequence; all of a shorter one."""
+    return F.slice(frames, F.lit(1), F.lit(length) if isinstance(length, int) else length)

@@ -69,3 +69,29 @@ def cross_entropy(logits: Column, target: Column) -> Column:
 def gumbel(seed: int, *keys: Column) -> Column:
     """Noise that turns an arg-max of logits into a draw from their softmax."""
     return -F.ln(-F.ln(uniform(seed, *keys)))
+
+
+# ---- element-wise steps of a layer, on one vector each ----
+
+
+def rms_norm(x: Column, eps: float = 1e-5) -> Column:
+    """The vector over the root of its mean square."""
+    root = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y) / F.size(v) + F.lit(eps))
+    return let(x, lambda v: let(root(v), lambda r: F.transform(v, lambda y: y / r)))
+
+
+def silu(x: Column) -> Column:
+    return F.transform(x, lambda y: y / (1 + F.exp(-y)))
+
+
+def rotated(x: Column, position: Column, longest: float = 10_000.0) -> Column:
+    """Rotary position: halves turned against each other by position over a time scale that rises to ``longest``."""
+
+    def turned(v: Column) -> Column:
+        half = (F.size(v) / 2).cast("int")
+        angle = lambda i: position / F.pow(F.lit(longest), 2.0 * i / F.size(v))
+        a, b = F.slice(v, F.lit(1), half), F.slice(v, half + 1, half)
+        pairs = F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda p, i: F.struct((p["a"] * F.cos(angle(i)) - p["b"] * F.sin(angle(i))).alias("a"), (p["b"] * F.cos(angle(i)) + p["a"] * F.sin(angle(i))).alias("b")))
+        return F.concat(F.transform(pairs, lambda p: p["a"]), F.transform(pairs, lambda p: p["b"]))
+
+    return let(x, turned)

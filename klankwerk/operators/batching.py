@@ -13,6 +13,9 @@ from klankwerk.operators.positions import positions
 from klankwerk.schemas import CHUNKS_PER_SHARD, TEXT_CLEAN_P, TEXT_DROPOUT_P
 
 
+BLOCK = 1 << 16
+
+
 def sharded(df: DataFrame, order: Sequence[str], per_shard: int = CHUNKS_PER_SHARD) -> DataFrame:
     """Rows with ``position``, ``shard`` (contiguous runs of ``per_shard``) and ``place`` in it, and the number of shards."""
     rows = positions(df, order)
@@ -50,18 +53,20 @@ def drawn_with_replacement(df: DataFrame, weight: str, keys: Sequence[str], size
     """
     w = F.when(F.col(weight).isNotNull() & ~F.isnan(F.col(weight).cast("double")) & (F.col(weight) > 0), F.col(weight).cast("double")).otherwise(0.0)
     rows = positions(df.withColumn("_w", w).withColumn("_u", F.xxhash64(F.lit(seed), *keys)), ["_u", *keys], "_p")
-    block = 1 << 16
-    rows = rows.withColumn("_b", F.floor(F.col("_p") / block))
-    sums = rows.groupBy("_b").agg(F.sum("_w").alias("_s"))
-    # one row for each block of rows
-    before = sums.select("_b", F.coalesce(F.sum("_s").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+    # sums of blocks of rows, and of blocks of blocks, so that no window holds more than a block of either
+    rows = rows.withColumn("_b", F.floor(F.col("_p") / BLOCK))
+    sums = rows.groupBy("_b").agg(F.sum("_w").alias("_s")).withColumn("_c", F.floor(F.col("_b") / BLOCK))
+    upper = sums.groupBy("_c").agg(F.sum("_s").alias("_t"))
+    ahead = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    upper = upper.select("_c", ahead("_t", W.orderBy("_c")).alias("_u"))  # a row for each 2**32 rows
+    before = sums.join(F.broadcast(upper), "_c").select("_b", (F.col("_u") + ahead("_s", W.partitionBy("_c").orderBy("_b"))).alias("_before"))
     total = sums.select(F.sum("_s")).scalar()
     upto = F.col("_before") + F.sum("_w").over(W.partitionBy("_b").orderBy("_p").rowsBetween(W.unboundedPreceding, 0))
     start = float(size) and (hash((seed, size)) % 9973) / 9973.0
     point = lambda x: F.floor(F.round(x / total * F.lit(float(size)), 9) - F.lit(start) + 1)
-    done = rows.join(before, "_b").withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_w"))
+    done = rows.drop("_u").join(before, "_b").withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_w"))
     done = done.withColumn("draws", (F.least(point(F.col("_to")), F.lit(size)) - F.least(point(F.col("_from")), F.lit(size))).cast("int"))
-    return done.where("draws > 0").drop("_w", "_u", "_p", "_b", "_before", "_to", "_from")
+    return done.where("draws > 0").drop("_w", "_p", "_b", "_before", "_to", "_from")
 
 
 def drawn_without_replacement(df: DataFrame, weight: str, keys: Sequence[str], size: int, seed: int = 42) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from klankwerk.runtime import staged
+from klankwerk.runtime import Grown
 
 BLOCK = 4096
 THRESHOLD = 0.5
@@ -36,11 +36,12 @@ def similar_pairs(queries: DataFrame, store: DataFrame, key: str = "id", vector:
     """``query, id, similarity`` (6 decimals) of every query and every other stored vector at ``threshold`` or above.
 
     Unusable vectors (null, another length, null or NaN inside, all zero) match nothing. Queries come in blocks of
-    ``BLOCK``, so the driver and a task hold a bounded number of them whatever their number.
+    ``BLOCK``, so the driver and a task hold a bounded number of them whatever their number; each block's matches are
+    added to one table in the shared folder, so neither the plan nor the driver grows with the blocks.
     """
     spark = queries.sparkSession
     kind = store.schema[key].dataType.simpleString()
-    result = spark.createDataFrame([], f"query {kind}, id {kind}, similarity double")
+    result = Grown(spark, f"query {kind}, id {kind}, similarity double", "pairs")
     for ids, units in _blocks(_usable(queries, key, vector, dim), key, vector):
         shared = spark.sparkContext.broadcast((ids, units))
 
@@ -57,8 +58,8 @@ def similar_pairs(queries: DataFrame, store: DataFrame, key: str = "id", vector:
                 yield pd.DataFrame({"query": ids[q][keep], "id": own[s][keep], "similarity": sims[q, s][keep]})
 
         found = _usable(store, key, vector, dim).select(key, vector).mapInPandas(match, f"query {kind}, id {kind}, similarity double")
-        result = result.unionByName(found)
-    return result
+        result.add(found)
+    return result.rows()
 
 
 def nearest(pairs: DataFrame) -> DataFrame:
@@ -146,22 +147,22 @@ _STORE = T.StructType([T.StructField("id", T.LongType()), T.StructField("embeddi
 def resolve_speakers(voices: DataFrame, store: DataFrame | None = None, threshold: float = THRESHOLD, compat: bool = False, block: int = BLOCK, dim: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(``key, speaker_id``, the grown store) for ``key, file, seq, embedding`` taken in the order of file, seq and key.
 
-    The assignment depends on its order, so blocks follow each other; each is one pass over the store. Voices without
-    a usable vector (of length ``dim``, or else of the longest in its block) get ids of their own that match nothing.
+    The assignment depends on its order, so blocks follow each other; each is one pass over the store. What a block
+    gives is added to tables in the shared folder. Voices without a usable vector (of length ``dim``, or else of the longest in its block) get ids of their own that match nothing.
     """
     spark = voices.sparkSession
-    grown = store if store is not None else spark.createDataFrame([], _STORE)
-    next_id = int(grown.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]) + 1
+    store = (store if store is not None else spark.createDataFrame([], _STORE)).select("id", "embedding")
+    next_id = int(store.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]) + 1
     kind = voices.schema["key"].dataType
     names = T.StructType([T.StructField("key", kind), T.StructField("speaker_id", T.LongType())])
-    given, waiting = spark.createDataFrame([], names), []
+    given, added, waiting = Grown(spark, names, "given"), Grown(spark, _STORE, "speakers"), []
 
     def flush() -> None:
-        nonlocal given, grown, next_id, waiting
-        some, fresh, next_id = resolve_block(spark, grown, waiting, threshold, compat, next_id, dim)
-        given = given.unionByName(spark.createDataFrame(some, names))
+        nonlocal next_id, waiting
+        some, fresh, next_id = resolve_block(spark, store.unionByName(added.rows()), waiting, threshold, compat, next_id, dim)
+        given.add(spark.createDataFrame(some, names))
         if fresh:
-            grown = grown.select("id", "embedding").unionByName(staged(spark.createDataFrame(fresh, _STORE), "speakers"))
+            added.add(spark.createDataFrame(fresh, _STORE))
         waiting = []
 
     for r in voices.orderBy("file", "seq", "key").select("key", "file", "embedding").toLocalIterator():
@@ -170,4 +171,4 @@ def resolve_speakers(voices: DataFrame, store: DataFrame | None = None, threshol
             flush()
     if waiting:
         flush()
-    return given, grown
+    return given.rows(), store.unionByName(added.rows())

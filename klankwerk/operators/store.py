@@ -7,11 +7,14 @@ order of summation cannot change a winner; ties go to the lowest id.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from klankwerk.runtime import staged
+
 
 def live_events(events: DataFrame) -> DataFrame:
     """Events by distinct id, those with a usable duration; ``duration_sec`` is end - start."""
@@ -104,6 +107,65 @@ def unnest_turns(chunks: DataFrame) -> DataFrame:
     return rows.select("source_file", "chunk_no", "turn_no", "turn.start", "turn.end", "turn.speaker")
 
 
+class Stored(NamedTuple):
+    """The four tables after results have been stored."""
+
+    files: DataFrame
+    chunks: DataFrame
+    events: DataFrame
+    speakers: DataFrame
+
+
+def store_results(results: DataFrame, files: DataFrame, chunks: DataFrame, events: DataFrame, speakers: DataFrame, threshold: float = 0.5, compat: bool = False) -> Stored:
+    """The tables with file results added: files merged by path, chunks and turns appended, voices resolved.
+
+    ``results`` has the columns of ``schemas.FILE_RESULT``, ``created_at`` and, if voices are to be resolved,
+    ``speaker_embeddings`` (label to vector). A file is known by ``gcs_audio_path``: a present one keeps its id and its
+    time of creation and takes the newest result's values, a new one gets the next id in the order of paths; results
+    without a path are left out. A missing window is 0 to the duration. Chunks get the next ids in the order of file,
+    time and place in their list, turns in the order of chunk and place; several results of one file all add theirs. A
+    voice takes the most similar stored speaker at ``threshold`` or above, else a new one (see ``resolve_speakers``;
+    of a label that comes more than once in a file the newest counts). A turn whose label has no voice has a null
+    speaker. Empty results leave the tables as they are.
+    """
+    from klankwerk.operators.identity import resolve_speakers
+
+    new = results.where("gcs_audio_path IS NOT NULL").withColumnRenamed("gcs_audio_path", "original_file_path")
+    window = lambda k, other: F.coalesce(F.col("processing_window")[k], other)
+    incoming = new.select(
+        F.lit(None).cast("int").alias("id"), "original_file_path", "audio_duration_sec", window("start", F.lit(0.0)).alias("processing_window_start"),
+        window("end", F.col("audio_duration_sec")).alias("processing_window_end"), "success", "created_at",
+    )
+    merged = staged(upsert(files.select(*incoming.columns), incoming, "original_file_path", ["id", "created_at"], "created_at").select(*incoming.columns), "files")
+    fresh = numbered_after(merged.where("id IS NULL").drop("id"), files, "id", ["original_file_path"])
+    all_files = staged(merged.where("id IS NOT NULL").unionByName(fresh.select(*incoming.columns)), "files")
+
+    owned = new.join(all_files.select(F.col("id").alias("audio_file_id"), "original_file_path"), "original_file_path")
+    rows = owned.select("audio_file_id", "created_at", F.posexplode("chunks").alias("chunk_no", "c"))
+    rows = staged(numbered_after(rows, chunks, "id", ["audio_file_id", "created_at", "chunk_no", F.col("c.audio_chunk.start"), F.col("c.audio_chunk.file_path")]), "chunks")
+    a = "c.audio_chunk"
+    added = rows.select(
+        "id", "audio_file_id", F.coalesce(f"{a}.gcs_file_path", f"{a}.file_path").alias("chunk_file_path"), F.col(f"{a}.start").cast("int").alias("start_time_ms"), F.col(f"{a}.end").cast("int").alias("end_time_ms"),
+        "c.transcription", F.lit(None).cast("double").alias("transcription_conf"), "c.transcription_clean", F.lit(None).cast("double").alias("transcription_clean_conf"), "created_at",
+    )
+
+    known, all_speakers = None, speakers
+    if "speaker_embeddings" in results.columns:
+        voices = owned.select("audio_file_id", "created_at", F.explode("speaker_embeddings").alias("label", "v"))
+        voices = voices.groupBy("audio_file_id", "label").agg(F.max_by("v", F.struct("created_at", "v")).alias("embedding"))
+        voices = voices.select(F.struct("audio_file_id", "label").alias("key"), F.col("audio_file_id").alias("file"), F.col("label").alias("seq"), F.col("embedding").cast("array<float>").alias("embedding"))
+        given, grown = resolve_speakers(voices, speakers.select(F.col("id").cast("long").alias("id"), "embedding"), threshold, compat)
+        known = given.select("key.audio_file_id", F.col("key.label").alias("speaker_label"), F.col("speaker_id").cast("int").alias("speaker_id"))
+        born = grown.join(speakers.select(F.col("id").cast("long").alias("id")), "id", "left_anti")
+        all_speakers = speakers.unionByName(born.select(F.col("id").cast("int").alias("id"), "embedding", F.current_timestamp().alias("created_at")))
+    turns = rows.select("audio_file_id", F.col("id").alias("chunk_id"), "created_at", F.posexplode(f"{a}.speaker_events").alias("turn_no", "e"))
+    turns = turns.select("audio_file_id", "chunk_id", "turn_no", F.col("e.start").alias("start_time_sec"), F.col("e.end").alias("end_time_sec"), F.col("e.speaker").alias("speaker_label"), "created_at")
+    turns = with_speakers(turns, known) if known is not None else turns.withColumn("speaker_id", F.lit(None).cast("int"))
+    turns = numbered_after(turns, events, "id", ["chunk_id", "turn_no"])
+    columns = ["id", "audio_file_id", "chunk_id", "speaker_id", "start_time_sec", "end_time_sec", "speaker_label", "created_at"]
+    return Stored(all_files, chunks.select(*added.columns).unionByName(added), events.select(*columns).unionByName(turns.select(*columns)), all_speakers)
+
+
 def delete_files(gone: DataFrame, files: DataFrame, chunks: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three tables without the files in ``gone`` (column ``id``) and what hangs on them."""
     ids = gone.select(F.col("id").alias("audio_file_id")).distinct()

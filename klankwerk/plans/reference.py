@@ -146,20 +146,39 @@ def training_export(spark, sf_dir):
     )
 
 
-@query(f"""with {_FILES}, new as (select original_file_path, arg_max(struct_pack(d := audio_duration_sec + 1, s := not success), created_at) r
-  from (select distinct * from audio_files) where id % 2 = 0 and original_file_path is not null group by 1),
-old as (select * from files where id % 3 <> 0)
-select coalesce(o.original_file_path, n.original_file_path) as original_file_path, coalesce(o.id, -1) as id,
-  case when n.original_file_path is null then o.audio_duration_sec else r.d end as audio_duration_sec,
-  case when n.original_file_path is null then o.success else r.s end as success
-from old o full join new n on o.original_file_path = n.original_file_path""")
+@query("""with f as (select distinct id, original_file_path, audio_duration_sec, success, created_at from audio_files where original_file_path is not null),
+old as (select original_file_path, r.* from (select original_file_path, arg_min(struct_pack(id := id, d := audio_duration_sec, s := success, t := created_at), created_at) r from f where success group by 1)),
+new as (select original_file_path, r.* from (select original_file_path, arg_max(struct_pack(d := audio_duration_sec, s := success), created_at) r from f group by 1))
+select n.original_file_path, coalesce(o.id, -1) as id, n.d as audio_duration_sec, n.s as success from new n left join old o using (original_file_path)""")
 def upsert_files(spark, sf_dir):
-    """Files whose id is no multiple of 3 are present; newer results of even ids come in, new paths with id -1."""
-    cols = ["id", "original_file_path", "audio_duration_sec", "success", "created_at"]
-    present = _files(spark, sf_dir).select(*cols).where("id % 3 != 0")
-    incoming = table(spark, sf_dir, "audio_files", *cols).where("id % 2 = 0")
-    incoming = incoming.withColumn("audio_duration_sec", F.col("audio_duration_sec") + 1).withColumn("success", ~F.col("success")).withColumn("id", F.lit(-1))
-    return store.upsert(present, incoming, "original_file_path", ["id"], "created_at").select("original_file_path", "id", "audio_duration_sec", "success")
+    """Into the earliest successful row of each path come all rows; a path without one is new, with id -1."""
+    rows = table(spark, sf_dir, "audio_files", "id", "original_file_path", "audio_duration_sec", "success", "created_at").where("original_file_path IS NOT NULL")
+    rest = [c for c in rows.columns if c != "original_file_path"]
+    first = F.min_by(F.struct(*rest), F.struct("created_at", "id", "audio_duration_sec")).alias("r")
+    present = rows.where("success").groupBy("original_file_path").agg(first).select("original_file_path", *[f"r.{c}" for c in rest])
+    return store.upsert(present, rows.withColumn("id", F.lit(-1)), "original_file_path", ["id"], "created_at").select("original_file_path", "id", "audio_duration_sec", "success")
+
+
+@query(f"""with {_EV}, {_FILES}, {_CHUNKS}, top as (select (select max(id) from files where success) as f, (select max(id) from chunks) as c, (select max(id) from ev) as e),
+f as (select id as old, created_at, case when success then id else (select f from top) + row_number() over (partition by success order by original_file_path) end as id from files where original_file_path is not null),
+c0 as (select f.id as audio_file_id, c.id as old, f.created_at, row_number() over (partition by f.old order by start_time_ms nulls first, c.id) as chunk_no from chunks c join f on f.old = c.audio_file_id),
+c as (select *, (select c from top) + row_number() over (order by audio_file_id, created_at, chunk_no) as id from c0),
+e as (select c.audio_file_id, c.id as chunk_id, start_time_sec, end_time_sec, speaker_label, row_number() over (partition by c.id order by start_time_sec, ev.id) as turn_no from ev join c on c.old = ev.chunk_id)
+select cast((select e from top) + row_number() over (order by chunk_id, turn_no) as int) as id, audio_file_id::int as audio_file_id, chunk_id::int as chunk_id, start_time_sec, end_time_sec, speaker_label from e""")
+def store_results(spark, sf_dir):
+    """Every file with its chunks and turns as a nested result, stored beside the tables as they are; the turns that come in."""
+    files, chunks, events = _files(spark, sf_dir), _chunks(spark, sf_dir), _events(spark, sf_dir)
+    turns = events.where("chunk_id IS NOT NULL").groupBy(F.col("chunk_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("start_time_sec", "id", "end_time_sec", "speaker_label"))).alias("xs"))
+    turns = turns.select("id", F.transform("xs", lambda x: F.struct(x["start_time_sec"].alias("start"), x["end_time_sec"].alias("end"), x["speaker_label"].alias("speaker"))).alias("speaker_events"))
+    ms = lambda c: F.col(c).cast("double")
+    body = F.struct(ms("start_time_ms").alias("start"), ms("end_time_ms").alias("end"), "speaker_events", F.col("chunk_file_path").alias("file_path"), F.lit(None).cast("string").alias("gcs_file_path"))
+    nested = chunks.join(turns, "id", "left").select("audio_file_id", F.struct("start_time_ms", "id", F.struct(body.alias("audio_chunk"), "transcription", "transcription_clean").alias("chunk")).alias("c"))
+    nested = nested.groupBy(F.col("audio_file_id").alias("id")).agg(F.transform(F.sort_array(F.collect_list("c")), lambda c: c["chunk"]).alias("chunks"))
+    windows = F.create_map(F.lit("start"), F.col("processing_window_start"), F.lit("end"), F.col("processing_window_end"))
+    results = files.join(nested, "id", "left").select(F.col("original_file_path").alias("source_file"), F.col("original_file_path").alias("gcs_audio_path"), "audio_duration_sec", "chunks", "success", windows.alias("processing_window"), "created_at")
+    wide = chunks.select("*", *[F.lit(None).cast("double").alias(c) for c in ("transcription_conf", "transcription_clean_conf")])
+    stored = store.store_results(results, files.where("success"), wide, events, table(spark, sf_dir, "speakers"))
+    return stored.events.join(events.select("id"), "id", "left_anti").select("id", "audio_file_id", "chunk_id", "start_time_sec", "end_time_sec", "speaker_label")
 
 
 @query(f"""with {_EV}, {_FILES}, {_CHUNKS}, gone as (select id from files where not success)
@@ -206,7 +225,16 @@ def nearest_speaker(spark, sf_dir):
     return identity.nearest(identity.similar_pairs(voices.where("id % 50 = 0"), voices, threshold=0.3))
 
 
-@query()
+@query("""with recursive cur as (select id, arg_max(struct_pack(e := embedding), created_at).e e from speakers where id is not null group by id),
+v as (select id, row_number() over (order by id) as k, case when e is not null and len(e) = 512 and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0 then e::double[512] end as e from cur),
+s as materialized (select a.k as a, b.k as b, round(array_cosine_similarity(a.e, b.e), 6) as s from v a join v b on b.k < a.k where a.e is not null and b.e is not null and round(array_cosine_similarity(a.e, b.e), 6) >= 0.5),
+near as materialized (select v.k, v.e is not null as usable, coalesce(list(s.b) filter (where s.b is not null), []) as bs from v left join s on s.a = v.k group by 1, 2),
+r as (select 0::bigint as k, []::bigint[] as founders union all
+  select r.k + 1, case when near.usable and len(list_intersect(r.founders, near.bs)) = 0 then list_append(r.founders, near.k) else r.founders end from r join near on near.k = r.k + 1),
+f as (select unnest(founders) as k from (select founders from r order by k desc limit 1)),
+born as (select v.id, v.k, row_number() over (order by v.k) as speaker_id from v where v.e is null or v.k in (select k from f)),
+joined as (select s.a as k, arg_max(born.speaker_id, (s.s, -born.speaker_id)) as speaker_id from s join born on born.k = s.b where s.b in (select k from f) and s.a not in (select k from f) group by 1)
+select v.id as key, coalesce(born.speaker_id, joined.speaker_id)::bigint as speaker_id from v left join born on born.k = v.k left join joined on joined.k = v.k""")
 def resolve_speakers(spark, sf_dir):
     """Speaker of each voice, taken in the order of their ids, against those before it; voices without a usable vector included."""
     voices = _voices(spark, sf_dir).select(F.col("id").alias("key"), F.lit(0).alias("file"), F.col("id").alias("seq"), "embedding")
@@ -352,12 +380,12 @@ def audio_frames(spark, sf_dir):
     return _long(_codes(spark, sf_dir).select("id", Tk.framed(F.col("frames"), 32).alias("frames")))
 
 
-@query(f"with {_CODES} select a.id, a.t, a.c, coalesce(b.v, 1026) as token from src a left join src b on b.id = a.id and b.c = a.c and b.t = a.t - a.d")
+@query(f"with {_CODES} select id, t, c, case when t < d then 1026 else (id::bigint * 31 + (t - d) * 9 + c * 7) % 1024 end as token from src")
 def delay_pattern(spark, sf_dir):
     return _long(_codes(spark, sf_dir).select("id", Tk.delayed(F.col("frames")).alias("frames")))
 
 
-@query(f"with {_CODES} select a.id, a.t, a.c, coalesce(b.v, 1025) as token from src a left join src b on b.id = a.id and b.c = a.c and b.t = a.t + a.d")
+@query(f"with {_CODES} select id, t, c, case when t + d >= n then 1025 else (id::bigint * 31 + (t + d) * 9 + c * 7) % 1024 end as token from src")
 def revert_pattern(spark, sf_dir):
     return _long(_codes(spark, sf_dir).select("id", Tk.reverted(F.col("frames")).alias("frames")))
 
@@ -368,11 +396,26 @@ def delay_round_trip(spark, sf_dir):
     return _long(_codes(spark, sf_dir).select("id", Tk.codes_only(Tk.reverted(Tk.delayed(F.col("frames")))).alias("frames")))
 
 
-@query(f"with {_CODES} select a.id, a.t, a.c, coalesce(b.v, 1025) as token from src a left join src b on b.id = a.id and b.c = a.c and b.t = a.t + 1")
+@query(f"with {_CODES} select id, t, c, case when t + 1 >= n then 1025 else (id::bigint * 31 + (t + 1) * 9 + c * 7) % 1024 end as token from src")
 def shifted_targets(spark, sf_dir):
     return _long(_codes(spark, sf_dir).select("id", Tk.shifted(F.col("frames")).alias("frames")))
 
 
+@query(f"""with {_CODES}, steps as (select id, n, unnest(range(n)) as t from ids), buffer as (select id, n, unnest(range(least(n + 16, 32))) as t from ids)
+select id, t, c, case when t - d <= 0 then 1026 when t - d <= n then (id::bigint * 31 + (t - d - 1) * 9 + c * 7) % 1024 else -1 end as token from buffer cross join ch""")
+def prompt_prefill(spark, sf_dir):
+    """The codes as a prompt in a generation buffer of 32 steps."""
+    return _long(_codes(spark, sf_dir).select("id", Tk.prefilled(F.col("frames"), 32).alias("frames")))
+
+
+@query(f"with {_CODES} select id, r.copy_no, 8 as steps_limit, least(n, 8) as steps, sum(v)::bigint as total from (select *, unnest([0, 1]) as copy_no from src) r where t < 8 group by 1, 2, 3, 4")
+def prompt_pair(spark, sf_dir):
+    """The first eight steps of the codes twice side by side, as for guidance."""
+    rows = _codes(spark, sf_dir).select("id", F.posexplode(Tk.repeated(Tk.first_steps(F.col("frames"), 8))).alias("copy_no", "frames"))
+    total = F.aggregate(F.flatten("frames"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("id", "copy_no", F.lit(8).alias("steps_limit"), F.size("frames").alias("steps"), total.alias("total"))
+
+
 @query(f"with {_CODES} select id, list(v order by t, c) as codes, [max(n)::bigint, 9] as shape from src group by id")
 def flat_codes(spark, sf_dir):
     rows = _codes(spark, sf_dir)
@@ -383,11 +426,11 @@ def flat_codes(spark, sf_dir):
 # ---- batches, samples and choices ----
 
 
-@query(f"""with {_EXPORTED}, p as (select chunk_id, row_number() over (order by chunk_id) - 1 as position from exported), s as (select *, position // 1000 as shard, position % 1000 as place from p),
+@query(f"""with {_EXPORTED}, p as (select chunk_id, row_number() over (order by chunk_id) - 1 as position from exported), s as (select *, position // 40000 as shard, position % 40000 as place from p),
 n as (select *, count(*) over (partition by shard) as size from s) select chunk_id, shard, place // 16 as batch_no from n where place < size // 16 * 16""")
 def batches(spark, sf_dir):
-    """Batches of 16 in shards of 1,000 rows."""
-    rows = batching.sharded(_exported(spark, sf_dir).select("chunk_id"), ["chunk_id"], 1000)
+    """Batches of 16 in shards of the export's size."""
+    rows = batching.sharded(_exported(spark, sf_dir).select("chunk_id"), ["chunk_id"])
     return batching.batched(rows, 16).select("chunk_id", "shard", "batch_no")
 
 
@@ -396,6 +439,35 @@ def shuffled_order(spark, sf_dir):
     return batching.shuffled(_exported(spark, sf_dir).select("chunk_id"), ["chunk_id"])
 
 
+@query(f"with {_EXPORTED} select count(*) as row_count, 0 as first_place, count(*) - 1 as last_place, count(*) as places, false as in_order from exported")
+def shuffled_order_invariants(spark, sf_dir):
+    """Of the shuffled order: whether it is a permutation, and whether one that changes nothing."""
+    rows = shuffled_order(spark, sf_dir)
+    sorted_ = batching.positions(rows, ["chunk_id"], "place")
+    return sorted_.agg(
+        F.count("*").alias("row_count"), F.min("shuffled_place").cast("int").alias("first_place"), F.max("shuffled_place").alias("last_place"), F.count_distinct("shuffled_place").alias("places"),
+        (F.count_if(F.col("place") == F.col("shuffled_place")) == F.count("*")).alias("in_order"),
+    )
+
+
+@query(f"with {_EXPORTED} select count(*) as row_count, count(*) as draws, 0 as far_off from exported")
+def weighted_draw_invariants(spark, sf_dir):
+    """Of the weighted draws: their sum, and the rows drawn a whole time more or less often than their weight asks for."""
+    rows = _exported(spark, sf_dir).select("chunk_id", F.coalesce("sample_prob", F.lit(0.0)).alias("w")).join(weighted_draws(spark, sf_dir).select("chunk_id", "draws"), "chunk_id", "left")
+    total = rows.agg(F.sum("w").alias("weight"), F.count("*").alias("n"))
+    asked = F.col("w") / total.select("weight").scalar() * total.select("n").scalar()
+    off = F.abs(F.coalesce("draws", F.lit(0)) - asked) >= 1 + 1e-6
+    return rows.agg(F.count("*").alias("row_count"), F.sum(F.coalesce("draws", F.lit(0))).alias("draws"), F.count_if(off).alias("far_off"))
+
+
+@query(f"with {_EXPORTED} select count(*) as row_count, 0 as foreign_texts from exported")
+def chosen_text_invariants(spark, sf_dir):
+    """Of the chosen texts: rows, and texts that are neither of the row's two and not empty."""
+    rows = chosen_texts(spark, sf_dir).join(_exported(spark, sf_dir).select("chunk_id", "transcription", "transcription_clean"), "chunk_id")
+    one = (F.col("text") == "") | F.col("text").eqNullSafe(F.col("transcription")) | F.col("text").eqNullSafe(F.col("transcription_clean"))
+    return rows.agg(F.count("*").alias("row_count"), F.count_if(~one).alias("foreign_texts"))
+
+
 @query()
 def weighted_draws(spark, sf_dir):
     """As many draws as there are rows, in proportion to sample_prob."""
@@ -504,6 +576,17 @@ def token_loss(spark, sf_dir):
     return rows.select("vec_id", F.round(M.cross_entropy(F.col("e"), (F.col("vec_id") % 64).cast("int")), 6).alias("loss"))
 
 
+@query(f"""with {_LOGITS}, q as (select vec_id, sqrt(avg(logit * logit) + 1e-5) as r from lg group by 1),
+h as (select a.vec_id, a.token, a.logit as x, b.logit as y, vec_id % 100 / pow(10000.0::double, 2.0 * a.token / 64) as t from lg a join lg b using (vec_id) where a.token < 32 and b.token = a.token + 32),
+o as (select vec_id, token, x * cos(t) - y * sin(t) as rotated from h union all select vec_id, token + 32, y * cos(t) + x * sin(t) from h)
+select vec_id, token, round(logit / r, 6) as rms_norm, round(logit / (1 + exp(-logit)), 6) as silu, round(rotated, 6) as rotated from lg join q using (vec_id) join o using (vec_id, token)""")
+def layer_steps(spark, sf_dir):
+    """Vectors normed by their root mean square, through the sigmoid gate, and turned by a position (id mod 100)."""
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    three = F.arrays_zip(M.rms_norm(F.col("e")).alias("rms_norm"), M.silu(F.col("e")).alias("silu"), M.rotated(F.col("e"), F.col("vec_id") % 100).alias("rotated"))
+    return rows.select("vec_id", F.posexplode(three).alias("token", "x")).select("vec_id", F.col("token").cast("long").alias("token"), *[F.round(f"x.{c}", 6).alias(c) for c in ("rms_norm", "silu", "rotated")])
+
+
 # ---- messages ----
 
 
@@ -528,13 +611,13 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/klankwerk/{name}-{uuid.uuid4().hex[:12]}"
 
 
-@query(f"""with {_EXPORTED}, s as (select chunk_id, (row_number() over (order by chunk_id) - 1) // 10000 as k, count(*) over () as n from exported)
-select case when n <= 10000 then 'dataset' else 'dataset_shard_' || lpad(cast(k + 1 as varchar), 3, '0') end as shard, count(*) as row_count, min(chunk_id) as first_id, max(chunk_id) as last_id from s group by 1""")
+@query(f"""with {_EXPORTED}, s as (select chunk_id, (row_number() over (order by chunk_id) - 1) // 500 as k, count(*) over () as n from exported)
+select case when n <= 500 then 'dataset' else 'dataset_shard_' || lpad(cast(k + 1 as varchar), 3, '0') end as shard, count(*) as row_count, min(chunk_id) as first_id, max(chunk_id) as last_id from s group by 1""")
 def shard_export(spark, sf_dir):
-    """The export written in shards of 10,000 rows, resumed once, and read back."""
+    """The export written in shards of 500 rows, resumed once, and read back."""
     target, rows = _scratch(spark, "export"), _exported(spark, sf_dir)
     for _ in range(2):  # the second run finds every shard there
-        sources.write_shards(rows, ["chunk_id"], target, per_shard=10_000)
+        sources.write_shards(rows, ["chunk_id"], target, per_shard=500)
     return sources.read_shards(spark, target).groupBy("shard").agg(F.count("*").alias("row_count"), F.min("chunk_id").alias("first_id"), F.max("chunk_id").alias("last_id"))
 
 
@@ -577,10 +660,52 @@ def media_pipeline(spark, sf_dir):
     return cut.select("file", "chunk_no", "start", "end", media.transcribe(F.col("segment")).alias("transcription"), F.size(media.encode_audio(F.col("segment"))).alias("frames"))
 
 
-@query(f"with {_CHUNKS} select id, 1024 as text_length, 64 as audio_input_length, 64 as audio_target_length from chunks")
+_BYTES = "left(hex(encode(replace(replace(replace(replace(coalesce(transcription, ''), '[S1]', chr(1)), '[S2]', chr(2)), '[S3]', chr(3)), '[S4]', chr(4)))), 2048)"
+
+
+@query(f"""with {_CODES}, audio as (select id, n, unnest(range(64)) as t from ids), wide as (select id, n, t, c, d from audio cross join ch),
+f as (select id, t, c, case when t < d then 1026 when t - d = 0 then 1026 when t - d <= n then (id::bigint * 31 + (t - d - 1) * 9 + c * 7) % 1024 when t - d = n + 1 then 1024 else 1025 end as x,
+  case when t = 63 then 1025 when t + 1 < d or t + 1 - d = 0 then 1026 when t + 1 - d <= n then (id::bigint * 31 + (t - d) * 9 + c * 7) % 1024 when t + 1 - d = n + 1 then 1024 else 1025 end as y from wide),
+s as (select id, sum(x * (t * 9 + c + 1))::bigint as audio_input, sum(y * (t * 9 + c + 1))::bigint as audio_target from f group by 1),
+b as (select id, {_BYTES} as h from chunks), tx as (select id, coalesce(list_sum(list_transform(range(1, len(h), 2), lambda i: cast(('0x' || substr(h, i, 2)) as int) * ((i + 1) // 2))), 0)::bigint as text from b)
+select id, 1024 as text_length, text, 64 as audio_input_length, audio_input, 64 as audio_target_length, audio_target from s join tx using (id)""")
 def window_batches(spark, sf_dir):
-    """Model input: chosen text as bytes, framed codes and their delayed inputs and shifted targets, lengths only."""
-    text = batching.chosen_text(F.col("transcription"), F.col("transcription_clean"), ["id"])
-    rows = _codes(spark, sf_dir).join(_chunks(spark, sf_dir).select("id", text.alias("text")), "id").select("id", X.byte_tokens(F.col("text")).alias("text"), Tk.framed(F.col("frames"), 64).alias("audio"))
+    """Model input: the text as bytes, framed codes as delayed inputs and shifted targets; lengths, and sums of each entry times its place."""
+    rows = _codes(spark, sf_dir).join(_chunks(spark, sf_dir).select("id", "transcription"), "id").select("id", X.byte_tokens(F.col("transcription")).alias("text"), Tk.framed(F.col("frames"), 64).alias("audio"))
     rows = rows.withColumn("audio_input", Tk.delayed(F.col("audio"))).withColumn("audio_target", Tk.shifted(F.col("audio_input")))
-    return rows.select("id", *[F.size(c).alias(f"{c}_length") for c in ("text", "audio_input", "audio_target")])
+    placed = lambda x: F.aggregate(F.transform(x, lambda v, i: v.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, v: a + v)
+    sums = {"text": placed(F.col("text")), "audio_input": placed(F.flatten("audio_input")), "audio_target": placed(F.flatten("audio_target"))}
+    return rows.select("id", *[x for c, v in sums.items() for x in (F.size(c).alias(f"{c}_length"), v.alias(c))])
+
+
+@query(f"""with {_FILES} select original_file_path as path, case when bool_or(success) then 'local' else 'remote' end as content from files where original_file_path is not null group by 1""")
+def blob_fallback(spark, sf_dir):
+    """Content from the local blobs, here those of the successful files, else from the remote ones."""
+    files = _files(spark, sf_dir).select(F.col("original_file_path").alias("path"), "success").where("path IS NOT NULL")
+    blobs = lambda rows, text: rows.select("path").distinct().withColumn("content", F.lit(text).cast("binary"))
+    return sources.with_blobs(files.select("path").distinct(), "path", blobs(files.where("success"), "local"), blobs(files, "remote")).select("path", F.col("content").cast("string").alias("content"))
+
+
+@query("""with r as (select event_type as tag, value, min(value) over (partition by event_type) as a, max(value) over (partition by event_type) as z from events where value is not null and not isnan(value))
+select tag, case when z > a then least(floor((value - a) / ((z - a) / 30)), 29) else 0 end::bigint as bucket, count(*) as row_count from r group by 1, 2""")
+def metric_histograms(spark, sf_dir):
+    """Histograms of the events' values by type, written to the metrics table and read back."""
+    target = _scratch(spark, "histograms")
+    rows = table(spark, sf_dir, "events", "event_type", "value").select(F.lit("run").alias("run"), F.col("event_type").alias("tag"), F.lit(1).alias("step"), "value")
+    sources.append_histograms(rows, target)
+    read = spark.read.parquet(target)
+    bucket = F.when(F.col("z") > F.col("a"), F.round((F.col("low") - F.col("a")) / ((F.col("z") - F.col("a")) / 30))).otherwise(0)
+    # the last bucket may be empty, so the ends are those of the values
+    ends = rows.where("value IS NOT NULL AND NOT isnan(value)").groupBy("tag").agg(F.min("value").alias("a"), F.max("value").alias("z"))
+    return read.join(ends, "tag").select("tag", bucket.cast("long").alias("bucket"), "row_count")
+
+
+@query(f"""with {_FILES} select count(distinct original_file_path) as queued, count(distinct original_file_path) * 2 as pushed from files where original_file_path is not null""")
+def queue_length(spark, sf_dir):
+    """Jobs of all files pushed to a queue twice: different paths and messages in it."""
+    target = _scratch(spark, "queue")
+    jobs = sources.jobs_for(_files(spark, sf_dir).select(F.col("original_file_path").alias("path")).where("path IS NOT NULL").distinct())
+    for _ in range(2):
+        streaming.push(jobs, target)
+    waiting = sources.parse_jobs(spark.read.text(target))
+    return waiting.agg(F.count_distinct("audio_file_path").alias("queued"), F.lit(streaming.queue_length(spark, target)).cast("long").alias("pushed"))

@@ -65,6 +65,22 @@ def staged(df: DataFrame, name: str, max_partition_bytes: int | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Grown:
+    """A table in the shared folder to which frames are added one after the other."""
+
+    def __init__(self, spark: SparkSession, schema, name: str) -> None:
+        self.spark, self.parts = spark, 0
+        self.path = f"{shared_dir(spark)}/klankwerk/{name}-{uuid.uuid4().hex[:12]}"
+        self.empty = spark.createDataFrame([], schema)
+
+    def add(self, df: DataFrame) -> None:
+        df.select(*self.empty.columns).write.mode("append").option("compression", "zstd").parquet(self.path)
+        self.parts += 1
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.empty.schema).parquet(self.path) if self.parts else self.empty
+
+
 def latest(df: DataFrame, key: str, when: str, *columns: str) -> DataFrame:
     """The row of each ``key`` with the greatest ``when``; rows equal in all columns count once.
 

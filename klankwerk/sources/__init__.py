@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import shutil
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from klankwerk import schemas
-from klankwerk.functions.text import AUDIO_SUFFIXES, is_audio, not_blank, shard_name, strip
+from klankwerk.functions.text import AUDIO_SUFFIXES, is_audio, not_blank, object_key, shard_name, strip
 from klankwerk.operators.batching import left_over, sharded
 
 # ---- listings and lists ----
@@ -64,12 +64,12 @@ def present(paths: DataFrame, listing: DataFrame) -> DataFrame:
     return paths.select("path").join(there, "path", "left").select("path", F.coalesce("_there", F.lit(False)).alias("present"))
 
 
-def move_files(plan: DataFrame, root: str) -> DataFrame:
+def move_files(plan: DataFrame, root: str, drop_failed: bool = False) -> DataFrame:
     """Move files ``source`` to ``target`` (under ``root``), giving ``source, target, moved, error`` of each.
 
-    A target that is there already is kept and the source removed; a source that cannot be moved is removed as well,
-    so that a work folder never fills up, and its error is told. Both are paths of a file system all executors share.
-    A repeated row finds its target there. Nothing happens before the result is used.
+    A target that is there already is kept and the source removed. A source that cannot be moved stays and its error
+    is told; with ``drop_failed`` it is removed as well, so that a work folder never fills up. Both are paths of a file
+    system all executors share. A repeated row finds its target there. Nothing happens before the result is used.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,13 +84,44 @@ def move_files(plan: DataFrame, root: str) -> DataFrame:
                         os.replace(f"{goal}.part", goal)
                 except OSError as e:
                     error = str(e)
-                Path(source).unlink(missing_ok=True)
+                if error is None or drop_failed:
+                    Path(source).unlink(missing_ok=True)
                 out.append((source, target, error is None, error))
             yield pd.DataFrame(out, columns=["source", "target", "moved", "error"])
 
     return plan.select("source", "target").mapInPandas(run, "source string, target string, moved boolean, error string")
 
 
+def upload_blobs(blobs: DataFrame, root: str, sign: Callable[[str], str] | None = None) -> DataFrame:
+    """Write ``path, content`` under ``root``, a URI of a file system executors reach; ``path, uri, length, url, error`` of each.
+
+    The key of a file is ``functions.text.object_key`` of its path. An object that is there is replaced, whole or not at
+    all. ``url`` is what ``sign`` makes of the URI, null without it. A null content is an error, as is one that cannot
+    be written; the others go on. Nothing happens before the result is used.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            out = []
+            for path, key, blob in zip(batch["path"], batch["key"], batch["content"]):
+                uri, error = f"{root.rstrip('/')}/{key}", None
+                try:
+                    goal = f"{base.rstrip('/')}/{key}"
+                    system.create_dir(goal.rsplit("/", 1)[0], recursive=True)
+                    with system.open_output_stream(f"{goal}.part") as stream:
+                        stream.write(blob)
+                    system.move(f"{goal}.part", goal)
+                except Exception as e:  # told in the result
+                    error = str(e)[:500]
+                out.append((path, uri, len(blob) if blob is not None else None, sign(uri) if sign and error is None else None, error))
+            yield pd.DataFrame(out, columns=["path", "uri", "length", "url", "error"]).astype({"length": "Int64"})
+
+    return blobs.select("path", object_key(F.col("path")).alias("key"), "content").mapInPandas(run, "path string, uri string, length bigint, url string, error string")
+
+
 # ---- Parquet shards ----
 
 
@@ -175,6 +206,22 @@ def append_metrics(metrics: DataFrame, target: str) -> None:
     metrics.write.mode("append").partitionBy("run").parquet(target)
 
 
+def append_histograms(values: DataFrame, target: str, buckets: int = 30) -> None:
+    """Histograms of rows ``run, tag, step, value`` added to a table: ``run, tag, step, low, high, row_count``.
+
+    Buckets are of equal width between the least and the greatest value of a run, tag and step; equal values have one
+    bucket. Null and NaN values count nowhere.
+    """
+    keys = ["run", "tag", "step"]
+    fine = values.where(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
+    ends = fine.groupBy(*keys).agg(F.min("value").cast("double").alias("_a"), F.max("value").cast("double").alias("_z"))
+    width = (F.col("_z") - F.col("_a")) / buckets
+    place = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("_a")) / width), F.lit(buckets - 1))).otherwise(F.lit(0))
+    rows = fine.join(ends, keys).groupBy(*keys, "_a", "_z", place.alias("_i")).agg(F.count("*").alias("row_count"))
+    low, high = F.col("_a") + F.col("_i") * width, F.when(width > 0, F.col("_a") + (F.col("_i") + 1) * width).otherwise(F.col("_z"))
+    rows.select(*keys, low.alias("low"), high.alias("high"), "row_count").write.mode("append").partitionBy("run").parquet(target)
+
+
 def load_config(path: str) -> dict | None:
     """A JSON configuration; None where the file is missing."""
     file = Path(path)

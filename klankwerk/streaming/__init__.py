@@ -6,6 +6,8 @@ against an idempotent sink; a message that cannot be parsed goes to a folder of
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,30 +79,73 @@ def job_consumer(done: Callable[[], DataFrame], work: Callable[[DataFrame], None
     return each
 
 
-def table_upserter(path: str, schema: str, key: str, kept: list[str], newest: str) -> Callable[[DataFrame], None]:
-    """A sink that merges rows into a Parquet table by key, by writing a new version and then naming it current.
+def table_upserter(path: str, schema: str, key: str, kept: list[str], newest: str, buckets: int = 16) -> Callable[[DataFrame], None]:
+    """A sink that merges rows into a Parquet table by key, in versions that are never changed.
 
-    ``<path>/_current`` holds the version's folder name; a reader sees the old or the new table, never a mixture.
+    Rows are in ``buckets`` by the hash of their key. A version writes the buckets its rows fall into under a folder of
+    its own, and then, in one step, a manifest ``<path>/_manifests/<version>`` that names the folder of every bucket. The
+    greatest manifest is the table. A reader sees the table before or after a version, never a mixture, and a writer
+    that dies before its manifest is there leaves the table as it was. One writer at a time: a version that another has
+    written meanwhile is an error. A null key is left out.
     """
 
     def write(rows: DataFrame) -> None:
         spark = rows.sparkSession
-        version, present = current(spark, path, schema)
-        upsert(present, rows, key, kept, newest).write.mode("overwrite").parquet(f"{path}/v{version + 1}")
-        spark.createDataFrame([(f"v{version + 1}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_current")
+        version, folders = _manifest(spark, path)
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        rows = rows.where(F.col(key).isNotNull()).withColumn("_bucket", bucket).persist()
+        try:
+            touched = sorted(r[0] for r in rows.select("_bucket").distinct().collect())  # at most as many as there are buckets
+            present = _read(spark, path, {b: f for b, f in folders.items() if b in touched}, schema)
+            attempt = f"v{version + 1}-{uuid.uuid4().hex[:8]}"  # what a dead writer left is never read
+            merged = upsert(present, rows.drop("_bucket"), key, kept, newest).withColumn("_bucket", bucket)
+            merged.repartition("_bucket").write.partitionBy("_bucket").option("compression", "zstd").parquet(f"{path}/{attempt}")
+        finally:
+            rows.unpersist()
+        _put(spark, f"{path}/_manifests/{version + 1:012d}", json.dumps({**folders, **{b: f"{attempt}/_bucket={b}" for b in touched}}))
 
     return write
 
 
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict[int, str]]:
+    """(version, folder of each bucket) of the greatest manifest; (0, {}) where there is none."""
+    fs, where = _file_system(spark, f"{path}/_manifests")
+    if not fs.exists(where):
+        return 0, {}
+    names = sorted(n for n in (f.getPath().getName() for f in fs.listStatus(where)) if n.isdigit())
+    if not names:
+        return 0, {}
+    text = "".join(r[0] for r in spark.read.option("wholetext", True).text(f"{path}/_manifests/{names[-1]}").collect())
+    return int(names[-1]), {int(b): f for b, f in json.loads(text).items()}
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all: written beside and renamed."""
+    fs, where = _file_system(spark, path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rsplit('/', 1)[0]}/_{uuid.uuid4().hex}")
+    out = fs.create(beside)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(where) or not fs.rename(beside, where):
+        fs.delete(beside, False)
+        raise RuntimeError(f"{path} has been written by another")
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _read(spark: SparkSession, path: str, folders: dict[int, str], schema: str) -> DataFrame:
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/{f}" for _, f in sorted(folders.items())])
+
+
 def current(spark: SparkSession, path: str, schema: str) -> tuple[int, DataFrame]:
     """(version, rows) of a table kept by ``table_upserter``; version 0 is empty."""
-    try:
-        name = spark.read.text(f"{path}/_current").first()[0]
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return 0, spark.createDataFrame([], schema)
-    return int(name[1:]), spark.read.schema(schema).parquet(f"{path}/{name}")
+    version, folders = _manifest(spark, path)
+    return version, _read(spark, path, folders, schema)
 
 
 def identity_consumer(store: str, given: str, threshold: float = 0.5, compat: bool = False) -> Callable[[DataFrame, int], None]:

@@ -372,3 +372,42 @@ def test_a_cluster_without_a_shared_folder_is_refused():
         shared_dir(conf(master="local-cluster[3,2,3000]"))
     assert shared_dir(conf(master="yarn", dir="hdfs://x/")) == "hdfs://x"
     assert shared_dir(conf(master="local[8]")).startswith("file:///")
+
+
+def test_file_results_are_stored_with_ids_and_speakers(spark):
+    turn = lambda a, b, s: (float(a), float(b), s)
+    chunk = lambda a, b, turns, path, far=None: ((float(a), float(b), turns, path, far), "tekst", None)
+    one, two = [1.0, 0.0], [0.0, 1.0]
+    results = [
+        ("x", "new.mp3", 60.0, [chunk(0, 900, [turn(0, 1, "A"), turn(1, 2, "B")], "c0"), chunk(900, 1800, [turn(1, 2, "C")], "c1", "far/c1")], True, {"start": 5.0}, {"A": one, "B": two}, T0),
+        ("y", "old.mp3", 30.0, [], False, {}, None, T0),
+        ("y", "old.mp3", 31.0, [chunk(0, 500, None, "c2")], True, {"start": 1.0, "end": 30.0}, {"A": [0.9, 0.1]}, T0 + dt.timedelta(1)),
+        ("z", None, 9.0, None, True, {}, None, T0),
+    ]
+    results = spark.createDataFrame(results, f"{K.FILE_RESULT}, speaker_embeddings map<string, array<double>>, created_at timestamp")
+    files = spark.createDataFrame([(7, "old.mp3", 1.0, 0.0, 1.0, False, T0)], K.AUDIO_FILES)
+    speakers = spark.createDataFrame([(3, one, T0)], K.SPEAKERS)
+    empty = lambda schema: spark.createDataFrame([], schema)
+    got = store.store_results(results, files, empty(K.AUDIO_CHUNKS), empty(K.AUDIO_EVENTS), speakers)
+    assert rows(got.files.select("id", "original_file_path", "audio_duration_sec", "processing_window_start", "processing_window_end", "success")) == [(7, "old.mp3", 31.0, 1.0, 30.0, True), (8, "new.mp3", 60.0, 5.0, 60.0, True)]
+    assert rows(got.chunks.select("id", "audio_file_id", "chunk_file_path", "end_time_ms")) == [(1, 7, "c2", 500), (2, 8, "c0", 900), (3, 8, "far/c1", 1800)]
+    assert rows(got.events.select("id", "audio_file_id", "chunk_id", "speaker_id", "speaker_label")) == [(1, 8, 2, 3, "A"), (2, 8, 2, 4, "B"), (3, 8, 3, None, "C")]
+    assert rows(got.speakers.select("id", "embedding")) == [(3, one), (4, two)]
+    again = store.store_results(results.limit(0), got.files, got.chunks, got.events, got.speakers)
+    assert [x.count() for x in again] == [2, 3, 3, 2]
+
+
+def test_steps_of_a_layer_and_guidance_inputs(spark):
+    x = F.array(*[F.lit(v) for v in (3.0, 4.0, 0.0, 0.0)])
+    assert np.allclose(one(spark, M.rms_norm(x)), [1.2, 1.6, 0, 0], atol=1e-5)
+    assert np.allclose(one(spark, M.silu(x))[:2], [3 / (1 + math.exp(-3)), 4 / (1 + math.exp(-4))])
+    assert np.allclose(one(spark, M.rotated(x, F.lit(2))), [3 * math.cos(2), 4 * math.cos(0.02), 3 * math.sin(2), 4 * math.sin(0.02)])
+    assert one(spark, Tk.guidance_pair(F.array(F.lit(5), F.lit(6)))) == [[0, 0], [5, 6]]
+    assert one(spark, Tk.first_steps(Tk.repeated(F.array(F.lit(5)), 3), 2)) == [[5], [5]]
+
+
+def test_draws_over_many_blocks(spark, monkeypatch):
+    df = spark.range(2000).withColumn("w", (F.col("id") % 7).cast("double"))
+    whole = rows(batching.drawn_with_replacement(df, "w", ["id"], 700))
+    monkeypatch.setattr(batching, "BLOCK", 4)
+    assert rows(batching.drawn_with_replacement(df, "w", ["id"], 700)) == whole and sum(r[-1] for r in whole) == 700

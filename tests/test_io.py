@@ -145,3 +145,89 @@ def test_progress_counts_rows(spark, tmp_path):
 def test_shards_in_turn(spark, tmp_path):
     sources.write_shards(spark.range(9), ["id"], str(tmp_path / "s"), per_shard=4)
     assert [r.id for r in sources.in_turn(sources.read_shards(spark, str(tmp_path / "s")), ["id"])] == list(range(9))
+
+
+def test_a_writer_that_dies_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "t"), "k string, v int, at int"
+    frame = lambda data: spark.createDataFrame(data, schema)
+    write = streaming.table_upserter(path, schema, "k", [], "at", buckets=4)
+    assert streaming.current(spark, path, schema)[0] == 0
+    write(frame([("a", 1, 1), ("b", 1, 1), (None, 9, 9)]))
+    before = rows(streaming.current(spark, path, schema)[1])
+    assert before == [("a", 1, 1), ("b", 1, 1)]
+
+    def dies(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(streaming, "_put", dies)  # the rows are written, the manifest is not
+        with pytest.raises(RuntimeError, match="killed"):
+            write(frame([("a", 5, 5), ("c", 5, 5)]))
+    version, table = streaming.current(spark, path, schema)
+    assert version == 1 and rows(table) == before
+    write(frame([("a", 2, 2), ("c", 2, 2), ("b", 0, 0)]))
+    version, table = streaming.current(spark, path, schema)
+    assert version == 2 and rows(table) == [("a", 2, 2), ("b", 0, 0), ("c", 2, 2)]
+    # a version another writer has written meanwhile is never replaced
+    with monkeypatch.context() as m:
+        m.setattr(streaming, "_manifest", lambda *_: (1, {}))
+        with pytest.raises(RuntimeError, match="another"):
+            write(frame([("z", 1, 1)]))
+    assert rows(streaming.current(spark, path, schema)[1]) == [("a", 2, 2), ("b", 0, 0), ("c", 2, 2)]
+    write(frame([]))
+    assert streaming.current(spark, path, schema)[1].count() == 3
+
+
+def test_tables_go_through_jdbc_and_back(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path / 'store'};create=true"
+    df = spark.createDataFrame([(i, f"t{i}" if i % 3 else None, i / 4) for i in range(50)], "id int, name string, size double")
+    for half in ("id < 25", "id >= 25"):
+        sources.write_jdbc(df.where(half), url, "items", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    whole = sources.read_jdbc(spark, url, "items", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    parts = sources.read_jdbc(spark, url, "items", "ID", (0, 50), 4, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert rows(whole) == rows(parts) == rows(df) and parts.rdd.getNumPartitions() == 4
+
+
+def test_uploads_and_their_errors(spark, tmp_path):
+    root = f"file://{tmp_path / 'bucket'}"
+    blobs = spark.createDataFrame([("gs://x/a/b.mp3", b"abc"), ("c.mp3", b""), ("d.mp3", None)], "path string, content binary")
+    for _ in range(2):
+        got = {r.path: r for r in sources.upload_blobs(blobs, root, lambda uri: uri + "?signed").collect()}
+    assert (tmp_path / "bucket" / "a" / "b.mp3").read_bytes() == b"abc" and got["gs://x/a/b.mp3"].url == f"{root}/a/b.mp3?signed"
+    assert got["c.mp3"].length == 0 and got["c.mp3"].error is None and got["d.mp3"].error and got["d.mp3"].url is None
+    assert not list((tmp_path / "bucket").rglob("*.part")) or (tmp_path / "bucket" / "d.mp3.part").exists()
+
+
+def test_a_file_that_cannot_be_moved_stays(spark, tmp_path):
+    (tmp_path / "one").write_text("1")
+    (tmp_path / "out").write_text("no folder")
+    plan = spark.createDataFrame([(str(tmp_path / "one"), "x/one")], "source string, target string")
+    assert not sources.move_files(plan, str(tmp_path / "out")).first().moved and (tmp_path / "one").exists()
+    assert not sources.move_files(plan, str(tmp_path / "out"), drop_failed=True).first().moved and not (tmp_path / "one").exists()
+
+
+def test_histograms_of_metrics(spark, tmp_path):
+    data = [("r", "a", 1, float(v)) for v in range(10)] + [("r", "b", 1, 2.0), ("r", "b", 1, 2.0), ("r", "b", 1, None), ("r", "b", 1, math.nan)]
+    sources.append_histograms(spark.createDataFrame(data, "run string, tag string, step int, value double"), str(tmp_path / "h"), 3)
+    got = spark.read.parquet(str(tmp_path / "h"))
+    assert rows(got.select("tag", "low", "high", "row_count")) == [("a", 0.0, 3.0, 3), ("a", 3.0, 6.0, 3), ("a", 6.0, 9.0, 4), ("b", 2.0, 2.0, 2)]
+
+
+def test_waves_are_read_resampled_and_written(spark):
+    tone = [0.5 * math.sin(2 * math.pi * 50 * k / 8000) for k in range(800)]
+    df = spark.createDataFrame([(1, tone), (2, []), (3, None)], "id int, x array<float>").select("id", media.save_wave(F.col("x"), 8000).alias("content"))
+    back = {r.id: r.w for r in df.select("id", media.load_wave(F.col("content"), 8000).alias("w")).collect()}
+    assert max(abs(a - b) for a, b in zip(back[1].samples, tone)) < 1e-4 and back[1].channels == 1
+    assert back[2].samples == [] and back[3] is None or back[3].samples is None
+    twice = df.where("id = 1").select(media.load_wave(F.col("content"), 16000).alias("w")).first().w
+    assert len(twice.samples) == 1600 and twice.rate == 16000 and max(abs(a - b) for a, b in zip(twice.samples[::2], tone)) < 1e-3
+    bad = spark.createDataFrame([(b"no wave",)], "content binary").select(media.load_wave(F.col("content")).alias("w")).first().w
+    assert bad is None or bad.samples is None
+
+
+def test_codes_are_decoded_and_said(spark):
+    df = spark.createDataFrame([([[1] * 9, [1023] * 9], [5, 6, 0]), (None, [7])], "codes array<array<int>>, text array<int>")
+    heard = df.select(media.decode_audio(F.col("codes"), hop=4).alias("x")).collect()
+    assert len(heard[0].x) == 8 and heard[0].x[0] < heard[0].x[7] and heard[1].x is None
+    said = df.select(media.generate(F.col("text"), F.col("codes")).alias("x"), media.generate(F.col("text")).alias("y")).collect()
+    assert len(said[0].x) == 5 and said[0].x[:2] == [[1] * 9, [1023] * 9] and len(said[1].x) == len(said[1].y) == 2
