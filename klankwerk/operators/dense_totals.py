@@ -87,15 +87,21 @@ def dense_totals(df: DataFrame, key: str, values: Sequence[str], blocks: int | N
                 sums.append(np.bincount(codes, weights=np.where(good, v, 0.0), minlength=n))
                 rows.append(np.bincount(codes, weights=good, minlength=n).astype(np.int64))
             acc.add(coded.dictionary, home, np.stack(sums), np.stack(rows))
-        if (merged := acc.merge()) is None:
-            return
+            if acc.held > FLUSH_KEYS and len(acc.merge()[0]) > FLUSH_KEYS:
+                # a split of ever new keys sends what it has and begins anew
+                yield blocks_of(acc.merge())
+                acc = _Accumulator()
+        if (merged := acc.merge()) is not None:
+            yield blocks_of(merged)
+
+    def blocks_of(merged: tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
         keys, home, sums, rows = merged
         order = np.argsort(home, kind="stable")
         cuts = np.flatnonzero(np.diff(home[order], prepend=-1))
         offsets = pa.array(np.append(cuts, len(order)).astype(np.int32))
         arrays = [keys.take(pa.array(order)), *[pa.array(x[order]) for x in (*sums, *rows)]]
         columns = [pa.array(home[order][cuts]), *[pa.ListArray.from_arrays(offsets, a) for a in arrays]]
-        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, partial_arrow)], schema=partial_arrow)
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, partial_arrow)], schema=partial_arrow)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = _Accumulator()

@@ -50,10 +50,14 @@ def speaker_totals(events: DataFrame) -> DataFrame:
     return events.where("speaker_id IS NOT NULL").groupBy("speaker_id").agg(F.round(F.sum("duration_sec"), 6).alias("duration_sec"))
 
 
-def chunks_of_done_files(files: DataFrame, chunks: DataFrame, limit: int | None = None) -> DataFrame:
-    """Chunks of successful files in the order of file, start and chunk; a limit of None or 0 is no limit."""
+def chunks_of_done_files(files: DataFrame, chunks: DataFrame, limit: int | None = None, ordered: bool = True) -> DataFrame:
+    """Chunks of successful files in the order of file, start and chunk; a limit of None or 0 is no limit.
+
+    Without ``ordered``, for those who put the rows in an order of their own, they are not sorted unless limited.
+    """
     good = files.where("success").select(F.col("id").alias("audio_file_id"), "original_file_path", "audio_duration_sec")
-    rows = chunks.withColumnRenamed("id", "chunk_id").join(good, "audio_file_id").orderBy("audio_file_id", "start_time_ms", "chunk_id")
+    rows = chunks.withColumnRenamed("id", "chunk_id").join(good, "audio_file_id")
+    rows = rows.orderBy("audio_file_id", "start_time_ms", "chunk_id") if ordered or limit else rows
     return rows.limit(limit) if limit else rows
 
 

@@ -135,7 +135,7 @@ def training_export(spark, sf_dir):
     events = _events(spark, sf_dir)
     owners = store.chunk_owners(events).withColumnRenamed("speaker_id", "owner")
     stats = speaker_stats(spark, sf_dir).select(F.col("speaker_id").alias("owner"), "sample_prob", "cb_weight")
-    rows = successful_chunks(spark, sf_dir).join(owners, "chunk_id", "left").join(stats, "owner", "left")
+    rows = store.chunks_of_done_files(_files(spark, sf_dir), _chunks(spark, sf_dir), ordered=False).join(owners, "chunk_id", "left").join(stats, "owner", "left")
     rows = batching.sharded(rows, ["audio_file_id", "start_time_ms", "chunk_id"])
     ms = lambda c: F.col(c).cast("double")
     return rows.select(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: list[str] = []
+_STAGED: list[str] = []
 
 
 def session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -57,20 +58,35 @@ def staged(df: DataFrame, name: str, max_partition_bytes: int | None = None) ->
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage at a copy that outlives any executor. The folder is new each time, so a repeated call never
-    reads an older result; the files stay until the folder is cleaned, as the caller's result may still read them.
+    reads an older result; the files stay until ``drop_staged``, as the caller's result may still read them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/klankwerk/{name}-{uuid.uuid4().hex[:12]}"
+    path = _new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _new_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/klankwerk/{name}-{uuid.uuid4().hex[:12]}"
+    _STAGED.append(path)
+    return path
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete what this driver has staged so far, once its results have been written; how many tables that were."""
+    gone = 0
+    while _STAGED:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        gone += bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
+    return gone
+
+
 class Grown:
     """A table in the shared folder to which frames are added one after the other."""
 
     def __init__(self, spark: SparkSession, schema, name: str) -> None:
         self.spark, self.parts = spark, 0
-        self.path = f"{shared_dir(spark)}/klankwerk/{name}-{uuid.uuid4().hex[:12]}"
+        self.path = _new_path(spark, name)
         self.empty = spark.createDataFrame([], schema)
 
     def add(self, df: DataFrame) -> None:

@@ -53,6 +53,25 @@ def test_totals_of_text_keys_and_of_two_values(spark):
     assert rows(dense_totals(df, "name", ["a", "c"])) == [("", 1.0, 1, 1.0, 1), ("é", 4.0, 2, 2.0, 1)]
 
 
+def test_totals_of_ever_new_keys_are_sent_in_parts(spark, monkeypatch):
+    from klankwerk.operators import dense_totals as module
+
+    monkeypatch.setattr(module, "FLUSH_KEYS", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        df = spark.range(3000).select((F.col("id") % 1500).alias("k"), F.lit(1.0).alias("v")).repartition(2)
+        assert rows(dense_totals(df, "k", ["v"])) == sorted(((k, 2.0, 2) for k in range(1500)), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_staged_tables_can_be_dropped(spark):
+    from klankwerk.runtime import drop_staged, staged
+
+    drop_staged(spark)
+    assert staged(spark.range(3), "x").count() == 3 and drop_staged(spark) == 1 and drop_staged(spark) == 0
+
+
 def test_totals_of_nothing(spark):
     empty = spark.createDataFrame([], "k bigint, v double")
     assert dense_totals(empty, "k", ["v"]).count() == 0
