@@ -398,22 +398,24 @@ def similar_vectors(vectors: DataFrame, dim: int, k: int = 5, least: float = -1.
     def build(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["h", "c"]).reset_index(drop=True)
         graph = build_graph(_units(part["v"], dim)[1], part["h"].to_numpy())
-        sizes = np.array([len(v) for v in part["v"]], dtype=np.int32)
-        row = {"cell": key[0], "sub": key[1], "blocks": int(part["blocks"].iloc[0]), "names": b"".join(part["c"]), "vectors": b"".join(part["v"]), "sizes": sizes.tobytes()}
+        sizes, blocks = np.array([len(v) for v in part["v"]], dtype=np.int32), int(part["blocks"].iloc[0])
+        own = ((part["h"].to_numpy().astype(np.uint64) >> np.uint64(20)) % np.uint64(blocks)).astype(np.int32)
+        row = {"cell": key[0], "sub": key[1], "blocks": blocks, "names": b"".join(part["c"]), "vectors": b"".join(part["v"]), "sizes": sizes.tobytes(), "own": own.tobytes()}
         return pd.DataFrame([row | {g: graph[g].tobytes() for g in ("base", "upper", "heads")}])
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = max(tasks, min(-(-count // shard), 20_000))
-    fields = "cell bigint, sub int, blocks int, names binary, vectors binary, sizes binary, base binary, upper binary, heads binary"
+    fields = "cell bigint, sub int, blocks int, names binary, vectors binary, sizes binary, own binary, base binary, upper binary, heads binary"
     index = staged(shards.repartition(groups, "cell", "sub").groupBy("cell", "sub").applyInPandas(build, fields), "graphs")
 
-    asked = routed.select("c", "v", F.explode("cells").alias("cell")).join(cells, "cell")
-    asked = asked.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).select("cell", "sub", F.pmod(F.shiftrightunsigned(hashed, 20), F.col("blocks")).cast("int").alias("block"), "c", "v")
+    # a vector is sent to the shards it visits but its own, which has it
+    asked = routed.select("c", "v", F.posexplode("cells").alias("pos", "cell")).join(cells, "cell")
+    asked = asked.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).where((F.col("pos") > 0) | (F.col("sub") != F.pmod(hashed, F.col("subs")))).select("cell", "sub", F.pmod(F.shiftrightunsigned(hashed, 20), F.col("blocks")).cast("int").alias("block"), "c", "v")
     served = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def look(key: tuple, queries: pd.DataFrame, holder: pd.DataFrame) -> pd.DataFrame:
         columns = ["c", "o", "s"]
-        if not len(queries) or not len(holder):
+        if not len(holder):
             return pd.DataFrame({"c": pd.Series(dtype=object), "o": pd.Series(dtype=object), "s": pd.Series(dtype=float)})
         g = holder.iloc[0]
         ends = np.cumsum(np.frombuffer(g["sizes"], np.int32)).tolist()
@@ -421,13 +423,15 @@ def similar_vectors(vectors: DataFrame, dim: int, k: int = 5, least: float = -1.
         names = np.frombuffer(g["names"], dtype="V16")
         width = 2 * LINKS
         graph = {"base": np.frombuffer(g["base"], np.int32).reshape(-1, width), "upper": np.frombuffer(g["upper"], np.int32).reshape(-1, width + 1), "heads": np.frombuffer(g["heads"], np.int32)}
+        mine = np.flatnonzero(np.frombuffer(g["own"], np.int32) == key[2])
         q_raw, q_unit = _units(queries["v"], dim)
+        q_raw, q_unit = np.concatenate([raw[mine], q_raw]), np.concatenate([unit[mine], q_unit])
         got, near = search_graph(unit, graph, q_unit, k + 3, beam)
         # those clearly below the least similarity need no exact figure
         i, j = np.nonzero((got >= 0) & (near > least - 1e-4))
         a, b = q_raw[i].astype(np.float64), raw[got[i, j]].astype(np.float64)
         s = np.round(np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b)), 6)
-        own = np.frombuffer(b"".join(queries["c"]), dtype="V16")
+        own = np.concatenate([names[mine], np.frombuffer(b"".join(queries["c"]), dtype="V16")])
         other = names[got[i, j]]
         ok = (own[i] != other) & (s >= least)
         return pd.DataFrame({"c": [x.tobytes() for x in own[i][ok]], "o": [x.tobytes() for x in other[ok]], "s": s[ok]}, columns=columns)
