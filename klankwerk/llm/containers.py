@@ -47,13 +47,18 @@ def _best_config(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[f
     return float(best[capacity]), config
 
 
-def optimise_configs(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 1000) -> list[tuple[np.ndarray, int]]:
-    """Configurations and how many containers of each: the linear programme by column generation, rounded down."""
+def optimise_configs(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Configurations and how many containers of each: the linear programme by column generation, rounded down.
+
+    Goes on until no configuration would help; only a run of 16 exchanges per size that change nothing (exchanges
+    among equally good ones could go on for ever) ends it before.
+    """
     m = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     configs = [np.eye(m, dtype=np.int64)[i] * (capacity // sizes[i]) for i in range(m)]
     uses = demand / np.diag(basis)
-    for _ in range(rounds):
+    least, idle = uses.sum(), 0
+    while idle <= 16 * m:
         value = np.linalg.solve(basis.T, np.ones(m))
         worth, config = _best_config(np.maximum(value, 0), sizes, capacity)
         if worth <= 1 + 1e-7:
@@ -65,6 +70,8 @@ def optimise_configs(sizes: np.ndarray, demand: np.ndarray, capacity: int, round
             break
         basis[:, out], configs[out] = config, config
         uses = np.maximum(np.linalg.solve(basis, demand.astype(float)), 0)
+        idle = 0 if uses.sum() < least * (1 - 1e-12) else idle + 1
+        least = min(least, uses.sum())
     return [(configs[i], int(np.floor(uses[i] + 1e-9))) for i in range(m) if uses[i] >= 1]
 
 
