@@ -32,58 +32,55 @@ class CutCost:
 def plan_cuts(duration: int, boundaries: np.ndarray, limit: int, overlap: int, cost: CutCost) -> list[tuple[int, int, bool]]:
     """(start, end, ends at a boundary or the end of the item) of each piece.
 
-    Dynamic programme over ends of pieces in rising order. A state is the end of a piece, the next piece starts
-    ``overlap`` before it; from a start s the candidates are the boundaries in (s + overlap, s + limit], or s + limit
-    where there is none. The last piece begins where at most ``limit`` remains and ends with the item.
+    Dynamic programme over the ends of pieces, states being settled in rising order of their cost, so that what is
+    dearer than the best plan is never looked at. A state is the end of a piece, the next piece starts ``overlap``
+    before it; from a start s the candidates are the boundaries in (s + overlap, s + limit], or s + limit where there
+    is none. The last piece begins where at most ``limit`` remains and ends with the item.
     """
     if duration <= limit:
         return [(0, duration, True)]
     bounds = np.unique(boundaries[(boundaries > overlap) & (boundaries < duration)]).astype(np.int64)
     pieces = -(-(duration - overlap) // (limit - overlap))
     target = (duration + (pieces - 1) * overlap) / pieces
-    at_bound = np.full(len(bounds), np.inf)  # least cost of a piece ending there
+    at_bound = np.full(len(bounds), np.inf)  # least cost known of a piece ending there
     came_bound = np.full(len(bounds), -1, dtype=np.int64)  # end of the piece before; -1 is the beginning
     loose: dict[int, tuple[float, int]] = {}  # the same for cuts off any boundary
-    pending: list[int] = []  # ends of pieces not yet taken up, the least first
-    best: tuple[float, int] | None = None
-    state, base = -1, 0.0
-    while True:
+    # of equal costs the later end is settled first, the end of the item before all others
+    pending: list[tuple[float, int, int]] = [(0.0, 0, -1)]
+    last = -1
+    while pending:
+        base, end, state = heappop(pending)
+        if end == -duration:
+            last = state
+            break
+        at = int(np.searchsorted(bounds, state)) if state >= 0 else len(bounds)
+        known = min(float(at_bound[at]) if at < len(bounds) and bounds[at] == state else np.inf, loose.get(state, (np.inf, -1))[0])
+        if state >= 0 and base > known + 1e-9:
+            continue  # settled at less before
         start = 0 if state < 0 else state - overlap
         if duration - start <= limit:
-            total = base + cost.imbalance * ((duration - start - target) / limit) ** 2
-            if best is None or total < best[0] - 1e-9 or (abs(total - best[0]) <= 1e-9 and state > best[1]):
-                best = (total, state)
+            heappush(pending, (base + cost.imbalance * ((duration - start - target) / limit) ** 2, -duration, state))
+            continue
+        a, b = np.searchsorted(bounds, [start + overlap, start + limit], side="right")
+        if a < b:
+            total = base + cost.passed * np.arange(b - a - 1, -1, -1) + cost.imbalance * ((bounds[a:b] - start - target) / limit) ** 2
+            better = a + np.flatnonzero(total < at_bound[a:b] - 1e-9)
+            at_bound[better], came_bound[better] = total[better - a], state
+            for i in better.tolist():
+                heappush(pending, (float(at_bound[i]), -int(bounds[i]), int(bounds[i])))
         else:
-            a, b = np.searchsorted(bounds, [start + overlap, start + limit], side="right")
-            if a < b:
-                total = base + cost.passed * np.arange(b - a - 1, -1, -1) + cost.imbalance * ((bounds[a:b] - start - target) / limit) ** 2
-                for i in a + np.flatnonzero(np.isinf(at_bound[a:b])):
-                    heappush(pending, int(bounds[i]))
-                better = total < at_bound[a:b] - 1e-9
-                at_bound[a:b] = np.where(better, total, at_bound[a:b])
-                came_bound[a:b] = np.where(better, state, came_bound[a:b])
-            else:
-                end = start + limit
-                total = base + cost.hard + cost.imbalance * ((limit - target) / limit) ** 2
-                if end not in loose:
-                    heappush(pending, end)
-                if end not in loose or total < loose[end][0] - 1e-9:
-                    loose[end] = (total, state)
-        if not pending:
-            break
-        state = heappop(pending)
-        i = int(np.searchsorted(bounds, state))
-        base = min(float(at_bound[i]) if i < len(bounds) and bounds[i] == state else np.inf, loose.get(state, (np.inf, -1))[0])
-        while pending and pending[0] == state:
-            heappop(pending)
-    ends, state = [duration], best[1]
-    natural = [True]
+            cut = start + limit
+            total = base + cost.hard + cost.imbalance * ((limit - target) / limit) ** 2
+            if cut not in loose or total < loose[cut][0] - 1e-9:
+                loose[cut] = (total, state)
+                heappush(pending, (total, -cut, cut))
+    ends, natural, state = [duration], [True], last
     while state >= 0:
         i = int(np.searchsorted(bounds, state))
-        on = i < len(bounds) and bounds[i] == state and np.isfinite(at_bound[i])
+        here = i < len(bounds) and bounds[i] == state
         ends.append(state)
-        natural.append(bool(i < len(bounds) and bounds[i] == state))
-        state = int(came_bound[i]) if on and (state not in loose or at_bound[i] <= loose[state][0]) else loose[state][1]
+        natural.append(here)
+        state = int(came_bound[i]) if here and at_bound[i] <= loose.get(state, (np.inf, -1))[0] else loose[state][1]
     ends.reverse()
     natural.reverse()
     starts = [0] + [e - overlap for e in ends[:-1]]
