@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heappop, heappush
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SLICE = 600_000
 
@@ -116,7 +119,7 @@ def split_items(items: DataFrame, item: str, length: str, spans: DataFrame, span
 
     Lengths are whole numbers; items with a null length or one of at most ``limit`` do not come out, items without a
     usable span are cut every ``limit``. Repeated items count once (the greatest length). A null item is left out. An
-    item's boundaries meet as packed arrays of one slice each, so what one task holds is 8 bytes a boundary.
+    item's boundaries meet in one row as an array, 8 bytes a boundary.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and below limit")
@@ -126,12 +129,19 @@ def split_items(items: DataFrame, item: str, length: str, spans: DataFrame, span
     packed = packed.groupBy(F.col(span_item).alias("i"), "b").agg(F.collect_list("boundary").alias("at"))
     whole = long.select("i", "n", F.lit(None).cast("array<bigint>").alias("at")).unionByName(packed.select("i", F.lit(None).cast("bigint").alias("n"), "at"))
 
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        at = [np.asarray(x, dtype=np.int64) for x in rows["at"] if x is not None]
-        plan = plan_cuts(int(rows["n"].max()), np.concatenate(at) if at else np.zeros(0, dtype=np.int64), limit, overlap, cost)
-        return pd.DataFrame([(rows["i"].iloc[0], k, s, e, ok) for k, (s, e, ok) in enumerate(plan)], columns=[item, "piece_no", "piece_start_ms", "piece_end_ms", "natural"])
+    kind = items.schema[item].dataType
+    out = T.StructType([T.StructField(item, kind), T.StructField("piece_no", T.IntegerType()), T.StructField("piece_start_ms", T.LongType()), T.StructField("piece_end_ms", T.LongType()), T.StructField("natural", T.BooleanType())])
+    fields = to_arrow_schema(out)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plans = [plan_cuts(n, np.asarray(at.values, dtype=np.int64), limit, overlap, cost) for n, at in zip(batch.column(1).to_pylist(), batch.column(2))]
+            sizes = np.array([len(p) for p in plans], dtype=np.int64)
+            flat = [x for p in plans for x in p]
+            columns = [batch.column(0).take(pa.array(np.repeat(np.arange(len(plans)), sizes))), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes), *([x[c] for x in flat] for c in range(3))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(columns, fields)], schema=fields)
 
-    kind = items.schema[item].dataType.simpleString()
     # as many tasks as the session has shuffle partitions: the packed input is small, the planning is not
     whole = whole.repartition(int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions")), "i")
-    return whole.groupBy("i").applyInPandas(cut, f"`{item}` {kind}, piece_no int, piece_start_ms bigint, piece_end_ms bigint, natural boolean")
+    whole = whole.groupBy("i").agg(F.max("n").alias("n"), F.flatten(F.collect_list("at")).alias("at"))
+    return whole.mapInArrow(cut, out)
