@@ -212,6 +212,36 @@ def save_wave(samples: Column, rate: int = 44_100) -> Column:
     return run(samples)
 
 
+def convert_wave(content: Column, rate: int = 16_000) -> Column:
+    """A wave as a mono one of 16 bits at ``rate``; null for what is no wave."""
+    return save_wave(load_wave(content, rate)["samples"], rate)
+
+
+def cut_wave(content: Column, start: Column, end: Column, rate: int = 16_000) -> Column:
+    """The part of a wave from ``start`` to ``end`` seconds as a mono one at ``rate``; null for what is no wave."""
+    at = lambda t: F.round(F.greatest(t, F.lit(0.0)) * rate).cast("int")
+    samples = load_wave(content, rate)["samples"]
+    return save_wave(F.slice(samples, at(start) + 1, F.greatest(at(end) - at(start), F.lit(0))), rate)
+
+
+def wave_seconds(content: Column) -> Column:
+    """The duration of a wave by its header, null for what is no wave."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for blob in batch:
+                try:
+                    with wave.open(io.BytesIO(bytes(blob))) as w:
+                        out.append(w.getnframes() / w.getframerate())
+                except Exception:  # told by the null
+                    out.append(None)
+            yield pd.Series(out, dtype=float)
+
+    return run(content)
+
+
 def is_readable(content: Column, factory: Callable[[], Callable[[bytes], bool]] | None = None) -> Column:
     """Whether a probe takes the file for audio; the stand-in asks for any content. False where the probe fails."""
 

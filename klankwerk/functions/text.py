@@ -84,3 +84,8 @@ def shard_name(stem_name: str, shard: Column, shards: Column, ending: str = ".pa
     """``<stem>_shard_001<ending>`` for shard 0 of several; without a number where it is the only one."""
     number = F.lpad((shard + 1).cast("string"), F.greatest(F.lit(3), F.length((shard + 1).cast("string"))), "0")
     return F.when(shards == 1, F.lit(f"{stem_name}{ending}")).otherwise(F.concat(F.lit(f"{stem_name}_shard_"), number, F.lit(ending)))
+
+
+def run_name(stem_name: str, at: Column) -> Column:
+    """``<stem>_20240301-174500`` of a time, in the session's time zone."""
+    return F.concat(F.lit(f"{stem_name}_"), F.date_format(at, "yyyyMMdd-HHmmss"))

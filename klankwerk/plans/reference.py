@@ -11,7 +11,7 @@ from klankwerk.functions import media
 from klankwerk.functions import text as X
 from klankwerk.functions import tokens as Tk
 from klankwerk.functions import training as M
-from klankwerk.operators import balance, batching, identity, metrics, store, timeline
+from klankwerk.operators import balance, batching, identity, metrics, parameters, store, timeline
 from klankwerk.runtime import latest, shared_dir, table
 
 QUERIES: dict = {}
@@ -602,6 +602,35 @@ def message_fields(spark, sf_dir):
     return table(spark, sf_dir, "events", "event_id", "props").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
+@query("""select count(*) as tensors, coalesce(sum(case when len(encoded_audio_shape) = 0 then 1 else list_product(encoded_audio_shape) end), 0)::bigint as parameters, round(coalesce(sum(case when len(encoded_audio_shape) = 0 then 1 else list_product(encoded_audio_shape) end), 0) * 4 / 1048576.0, 6) as megabytes
+from processed_chunks where encoded_audio_shape is not null""")
+def parameter_summary(spark, sf_dir):
+    """The shapes of the export taken for those of tensors."""
+    return parameters.summary(table(spark, sf_dir, "processed_chunks", "encoded_audio_shape").withColumnRenamed("encoded_audio_shape", "shape"))
+
+
+@query(f"""with {_FILES}, a as (select distinct original_file_path as name from files where original_file_path is not null),
+b as (select distinct regexp_replace(source_file, '^\\s+|\\s+$', '', 'g') as name from processed_chunks where source_file is not null)
+select coalesce(a.name, b.name) as name, case when b.name is null then 'missing' when a.name is null then 'surplus' else 'both' end as status from a full join b on a.name = b.name""")
+def matched_names(spark, sf_dir):
+    """Paths of files and of the export, matched as parameter names are."""
+    ours = _files(spark, sf_dir).select(F.col("original_file_path").alias("name"))
+    return parameters.matched(ours, _paths(spark, sf_dir).select(F.col("path").alias("name")))
+
+
+@query("""select id, strftime(created_at, 'run_%Y%m%d-%H%M%S') as name from (select distinct id, created_at from speakers where created_at is not null)""")
+def run_names(spark, sf_dir):
+    rows = table(spark, sf_dir, "speakers", "id", "created_at").where("created_at IS NOT NULL").distinct()
+    return rows.select("id", X.run_name("run", F.col("created_at")).alias("name"))
+
+
+@query("select count(distinct vec_id) as row_count, 0 as foreign_tokens from embeddings")
+def sampled_token_invariants(spark, sf_dir):
+    """Of the sampled tokens: rows, and tokens that the vector lacks."""
+    rows = sampled_token(spark, sf_dir)
+    return rows.agg(F.count("*").alias("row_count"), F.count_if(~F.col("token").between(0, 63)).alias("foreign_tokens"))
+
+
 # ---- sinks, queues and media boundaries ----
 
 

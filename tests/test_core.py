@@ -15,7 +15,7 @@ from klankwerk.functions import text as X
 from klankwerk.functions import tokens as Tk
 from klankwerk.functions import training as M
 from klankwerk.functions.vectors import cosine
-from klankwerk.operators import balance, batching, identity, metrics, store, timeline
+from klankwerk.operators import balance, batching, identity, metrics, parameters, store, timeline
 from klankwerk.operators.dense_totals import dense_totals
 from klankwerk.operators.periods import periods_and_gaps
 from klankwerk.operators.positions import positions
@@ -430,3 +430,9 @@ def test_draws_over_many_blocks(spark, monkeypatch):
     whole = rows(batching.drawn_with_replacement(df, "w", ["id"], 700))
     monkeypatch.setattr(batching, "BLOCK", 4)
     assert rows(batching.drawn_with_replacement(df, "w", ["id"], 700)) == whole and sum(r[-1] for r in whole) == 700
+
+
+def test_parameters_are_matched_and_summed(spark):
+    shapes = spark.createDataFrame([("a", [2, 3]), ("b", []), ("c", None), (None, [1 << 20])], "name string, shape array<int>")
+    assert rows(parameters.summary(shapes)) == [(3, 7 + (1 << 20), round((7 + (1 << 20)) * 4 / (1 << 20), 6))]
+    assert rows(parameters.matched(shapes, spark.createDataFrame([("b",), ("d",), ("d",), (None,)], "name string"))) == [("a", "missing"), ("b", "both"), ("c", "missing"), ("d", "surplus")]

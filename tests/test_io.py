@@ -231,3 +231,11 @@ def test_codes_are_decoded_and_said(spark):
     assert len(heard[0].x) == 8 and heard[0].x[0] < heard[0].x[7] and heard[1].x is None
     said = df.select(media.generate(F.col("text"), F.col("codes")).alias("x"), media.generate(F.col("text")).alias("y")).collect()
     assert len(said[0].x) == 5 and said[0].x[:2] == [[1] * 9, [1023] * 9] and len(said[1].x) == len(said[1].y) == 2
+
+
+def test_waves_are_converted_cut_and_measured(spark):
+    samples = [k / 1000 for k in range(1000)]
+    df = spark.createDataFrame([(samples,)], "x array<float>").select(media.save_wave(F.col("x"), 1000).alias("c")).unionByName(spark.createDataFrame([(b"x",)], "c binary"))
+    got = df.select(media.wave_seconds(F.col("c")).alias("s"), media.wave_seconds(media.convert_wave(F.col("c"), 500)).alias("t"), media.load_wave(media.cut_wave(F.col("c"), F.lit(0.25), F.lit(0.5), 1000), 1000)["samples"].alias("x")).collect()
+    assert got[0].s == got[0].t == 1.0 and len(got[0].x) == 250 and abs(got[0].x[0] - 0.25) < 1e-3
+    assert got[1].s is None and got[1].t is None and got[1].x is None
