@@ -59,10 +59,11 @@ def components(records: DataFrame, owner: str, source: str) -> tuple[DataFrame,
     """
     edges = staged(records.select(F.col(owner).cast("long").alias("o"), F.col(source).alias("s")).where("o IS NOT NULL").distinct(), "edges")
     least = staged(edges.where("s IS NOT NULL").groupBy("s").agg(F.min("o").alias("m")), "least")
-    # owners of a hot source are spread by the adaptive skew join; no pairs of owners are made
-    links = edges.join(least, "s", "left").select(F.col("o").alias("a"), F.coalesce("m", "o").alias("b"))
+    # owners of a hot source are spread over the tasks of a salt; no pairs of owners are made
+    links = _joined(edges, least, "s").select(F.col("o").alias("a"), F.coalesce("m", "o").alias("b"))
     roots = contract(links)
-    return roots.select(F.col("node").alias("owner"), "root"), least.join(roots.select(F.col("node").alias("m"), "root"), "m").select(F.col("s").alias("source"), "root")
+    sources = _joined(least, roots.select(F.col("node").alias("m"), "root"), "m").select(F.col("s").alias("source"), "root")
+    return roots.select(F.col("node").alias("owner"), "root"), sources
 
 
 # ---- the component table ----
@@ -139,7 +140,7 @@ def assign_splits(records: DataFrame, owner: str, source: str, shares: Mapping[s
     merged = touch.groupBy("root", "split").agg(F.min("component").alias("p")).join(touch.select("root", "split", F.col("component").alias("q")), ["root", "split"]).where("p != q").select("split", "p", "q")
     key = lambda c: F.concat("split", F.lit("\u0001"), c)
     links = direct.unionByName(merged).select(key("p").alias("a"), key("q").alias("b"))
-    renamed = (links.select(F.col("a").alias("node"), F.col("b").alias("root")) if first else contract(links)).where("node != root")
+    renamed = (links.select(F.col("a").alias("node"), F.col("b").alias("root")) if first or links.isEmpty() else contract(links)).where("node != root")
     part = lambda c, i: F.element_at(F.split(c, "\u0001"), i)
     renamed = staged_(renamed.select(part("node", 1).alias("split"), part("node", 2).alias("component"), part("root", 2).alias("_to")), "renamed")
     name = lambda rows: rows.join(renamed, ["split", "component"], "left").withColumn("component", F.coalesce("_to", "component")).drop("_to")
@@ -192,7 +193,8 @@ def _joined(pairs: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """
     more = [c for c in known.columns if c != key]
     some = pairs.where(F.col(key).isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(*pairs.columns), F.lit(SALT)).cast("int"))
-    wide = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    # never broadcast: the planner's estimate of its size does not know of the copies
+    wide = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).hint("merge")
     some = some.join(wide, [key, "_salt"], "left").select(*pairs.columns, *more)
     types = dict(known.dtypes)
     return some.unionByName(pairs.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(types[c]).alias(c) for c in more]))
@@ -208,7 +210,7 @@ def _marked(records: DataFrame, own: Column, src: Column, settled: DataFrame, ma
     tagged = records.withColumn(o, own).withColumn(s, src)
     text = lambda a, b: F.concat(F.coalesce(F.col(a).cast("string"), F.lit("")), F.lit("\u0001"), F.when(F.col(b).isNotNull(), F.concat(F.lit("\u0002"), b)).otherwise(F.lit("")))
     paired = tagged.where(F.col(o).isNotNull() | F.col(s).isNotNull()).withColumn(o, text(o, s)).withColumn(h, F.pmod(F.spark_partition_id(), F.lit(SALT)))
-    wide = settled.select(text("o", "s").alias(o), F.col("_split").alias(to)).withColumn(h, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    wide = settled.select(text("o", "s").alias(o), F.col("_split").alias(to)).withColumn(h, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).hint("merge")
     done = paired.join(wide, [o, h]).select(*names, F.col(to).alias(mark))
     return done.unionByName(tagged.where(F.col(o).isNull() & F.col(s).isNull()).select(*names, lone.alias(mark)))
 
