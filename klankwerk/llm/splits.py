@@ -60,9 +60,9 @@ def components(records: DataFrame, owner: str, source: str) -> tuple[DataFrame,
     edges = staged(records.select(F.col(owner).cast("long").alias("o"), F.col(source).alias("s")).where("o IS NOT NULL").distinct(), "edges")
     least = staged(edges.where("s IS NOT NULL").groupBy("s").agg(F.min("o").alias("m")), "least")
     # owners of a hot source are spread over the tasks of a salt; no pairs of owners are made
-    links = _joined(edges, least, "s").select(F.col("o").alias("a"), F.coalesce("m", "o").alias("b"))
+    links = _joined(edges, least, "s", spread=True).select(F.col("o").alias("a"), F.coalesce("m", "o").alias("b"))
     roots = contract(links)
-    sources = _joined(least, roots.select(F.col("node").alias("m"), "root"), "m").select(F.col("s").alias("source"), "root")
+    sources = _joined(least, roots.select(F.col("node").alias("m"), "root"), "m", spread=True).select(F.col("s").alias("source"), "root")
     return roots.select(F.col("node").alias("owner"), "root"), sources
 
 
@@ -186,18 +186,22 @@ def assign_splits(records: DataFrame, owner: str, source: str, shares: Mapping[s
 SALT = 16
 
 
-def _joined(pairs: DataFrame, known: DataFrame, key: str) -> DataFrame:
+def _joined(pairs: DataFrame, known: DataFrame, key: str, spread: bool = False) -> DataFrame:
     """``pairs`` with the columns of ``known`` by ``key``; rows with a null key take no part in the join.
 
-    The pairs of a hot key are spread over ``SALT`` tasks, to each of which the key's one row of ``known`` is sent.
+    With ``spread`` the pairs of a hot key go to ``SALT`` tasks, to each of which the key's one row of ``known`` is
+    sent; without, the planner broadcasts a small ``known`` and splits a hot partition.
     """
     more = [c for c in known.columns if c != key]
-    some = pairs.where(F.col(key).isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(*pairs.columns), F.lit(SALT)).cast("int"))
-    # never broadcast: the planner's estimate of its size does not know of the copies
-    wide = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).hint("merge")
-    some = some.join(wide, [key, "_salt"], "left").select(*pairs.columns, *more)
+    some = pairs.where(F.col(key).isNotNull())
+    if spread:
+        # never broadcast: the planner's estimate of its size does not know of the copies
+        wide = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).hint("merge")
+        some = some.withColumn("_salt", F.pmod(F.xxhash64(*pairs.columns), F.lit(SALT)).cast("int")).join(wide, [key, "_salt"], "left")
+    else:
+        some = some.join(known, key, "left")
     types = dict(known.dtypes)
-    return some.unionByName(pairs.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(types[c]).alias(c) for c in more]))
+    return some.select(*pairs.columns, *more).unionByName(pairs.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(types[c]).alias(c) for c in more]))
 
 
 def _marked(records: DataFrame, own: Column, src: Column, settled: DataFrame, mark: str, lone: Column) -> DataFrame:
