@@ -1,12 +1,13 @@
-"""The most similar vectors of every vector, by small-world graphs over shards whose results are merged.
+"""The most similar vectors of every vector, by scans or small-world graphs of shards whose results are merged.
 
 Equal directions are one class first. The classes are cut into shards of a bounded number of vectors by centroids of two
 levels, so that similar vectors mostly share a shard: about sqrt(cells) upper centroids from a bounded sample, and for
-each upper cell lower centroids from a sample of its own vectors, as many as it has shards. Every shard becomes a
-hierarchical navigable small-world graph, kept as flat arrays of neighbours. Every vector is looked up in the shards
-of its nearest lower centroids, found among those of its upper cell and the upper cells next to it, and the results of
-a vector's shards are merged. What a task holds is one shard and one block of queries, or one block of vectors and the
-lower centroids about it; the number of shards grows with the vectors, the shards a vector visits do not.
+each upper cell lower centroids from a sample of its own vectors, as many as it has shards. Every vector is looked up in
+the shards of its nearest lower centroids, found among those of its upper cell and the upper cells next to it, and the
+results of a vector's shards are merged. A shard is scanned whole, by products of blocks. On request it becomes a
+hierarchical navigable small-world graph instead, kept as flat arrays of neighbours. What a task holds is one shard and
+one block of queries, or one block of vectors and the lower centroids about it. The shards a vector visits grow with the
+root of their number: with a fixed number of visits, ever more neighbours would be missed as the vectors grow.
 
 Vectors travel packed without loss: numbers that are multiples of one power of two take a byte or two each.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,12 +27,14 @@ from pyspark.sql import functions as F
 
 from klankwerk.runtime import staged
 
-SHARD, FULL = 3072, 4096
-QUERIES = 32_768
+#: Vectors of a shard that is scanned, and of one that becomes a graph.
+SHARD, GRAPH_SHARD = 24_576, 3072
+QUERIES = 65_536
 ROUTED = 65_536
-SAMPLE = 65_536
-PROBES = 5
-BESIDE = 4
+SAMPLE, EACH = 65_536, 1024
+#: A vector visits so many shards at least, and that many times the root of their number.
+PROBES, SPREAD = 6, 1.25
+BESIDE = 15
 LINKS = 12
 CANDIDATES = 48
 BEAM = 16
@@ -235,6 +239,44 @@ def search_graph(unit: np.ndarray, graph: dict[str, np.ndarray], queries: np.nda
     return found, score
 
 
+# ---- one shard scanned ----
+
+SCANNED = 512
+
+
+def scan_shard(raw: np.ndarray, unit: np.ndarray, queries: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, cosine rounded to 6 decimals) for the ``k`` rows most similar to each query, and all tied with the last.
+
+    Only similarities of at least ``least``; ``unit`` has the directions of the rows. All rows are compared in single
+    precision, and those that may count in double.
+    """
+    n, floor, out = len(raw), least - 1e-4, []
+    square = np.einsum("ij,ij->i", raw, raw, dtype=np.float64)
+    for lo in range(0, len(queries), SCANNED):
+        q = queries[lo : lo + SCANNED]
+        own = np.einsum("ij,ij->i", q, q, dtype=np.float64)
+        sims = (q / np.sqrt(own)[:, None]).astype(np.float32) @ unit.T
+        passed = sims >= floor
+        if n > k and np.count_nonzero(passed) > 8 * k * len(q):
+            # nothing much below the k-th of a query can be among its k best
+            passed &= sims >= (np.partition(sims, n - k, axis=1)[:, n - k] - 4e-6)[:, None]
+        at = np.flatnonzero(passed)
+        i, j = at // n, at % n
+        s = np.empty(len(at))
+        for a in range(0, len(at), 8192):
+            x, y = i[a : a + 8192], j[a : a + 8192]
+            s[a : a + 8192] = np.round(np.einsum("ij,ij->i", q[x], raw[y], dtype=np.float64) / np.sqrt(own[x] * square[y]), 6)
+        good = s >= least
+        i, j, s = i[good], j[good], s[good]
+        by = np.lexsort((-s, i))
+        i, j, s = i[by], j[by], s[by]
+        first = np.searchsorted(i, np.arange(len(q) + 1))
+        last = np.minimum(first[:-1] + k, first[1:]) - 1
+        best = s >= s[last[i]]
+        out.append((lo + i[best], j[best], s[best]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
 # ---- centroids ----
 
 
@@ -254,9 +296,13 @@ def train_centroids(sample: np.ndarray, count: int, rounds: int = 8, seed: int =
 
 def _units(blobs, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """The vectors and their directions."""
-    raw = unpack_rows(list(blobs), dim)
-    norm = np.sqrt(np.einsum("ij,ij->i", raw, raw, dtype=np.float64))
-    return raw, (raw / norm[:, None]).astype(np.float32)
+    blobs = list(blobs)
+    raw, unit = np.empty((len(blobs), dim), dtype=np.float32), np.empty((len(blobs), dim), dtype=np.float32)
+    for lo in range(0, len(blobs), 4096):
+        x = unpack_rows(blobs[lo : lo + 4096], dim)
+        norm = np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))
+        raw[lo : lo + 4096], unit[lo : lo + 4096] = x, x / norm[:, None]
+    return raw, unit
 
 
 # ---- the operator ----
@@ -297,7 +343,7 @@ def _routed(heads: DataFrame, dim: int, count: int, shard: int, probes: int) ->
     """
     spark = heads.sparkSession
     upper = int(np.ceil(np.sqrt(-(-count // shard))))
-    some = min(SAMPLE, 64 * upper + 1024)
+    some = min(SAMPLE, EACH * (upper + 1))
     sample = heads.where(_drawn(F.lit(min(1.0, 1.2 * some / count)))).select("v").limit(some)
     tops = train_centroids(_units([bytes(r.v) for r in sample.collect()], dim)[1], upper)
     shared = spark.sparkContext.broadcast(tops)
@@ -310,9 +356,9 @@ def _routed(heads: DataFrame, dim: int, count: int, shard: int, probes: int) ->
 
     placed = staged(heads.mapInArrow(climb, "c binary, v binary, top int"), "placed")
     sizes = staged(placed.groupBy("top").agg(F.count("*").alias("n")), "tops")
-    # as many lower centroids as the upper cell has shards, from 64 vectors each; from 8 where that is above SAMPLE
+    # as many lower centroids as the upper cell has shards, from EACH vectors each; from 8 where that is above SAMPLE
     lower = F.ceil(F.col("n") / shard)
-    drawn = F.greatest(F.least(64 * lower + 256, F.lit(SAMPLE)), 8 * lower)
+    drawn = F.greatest(F.least(EACH * (lower + 1), F.lit(SAMPLE)), 8 * lower)
     part = placed.join(F.broadcast(sizes), "top").where(_drawn(drawn / F.col("n"))).select("top", "v", lower.cast("int").alias("k"))
 
     def train(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -355,13 +401,16 @@ def _drawn(rate):
     return F.pmod(F.xxhash64("c"), F.lit(1 << 30)) < rate * F.lit(1 << 30)
 
 
-def similar_vectors(vectors: DataFrame, dim: int, k: int = 5, least: float = -1.0, shard: int = SHARD, probes: int = PROBES, beam: int = BEAM) -> DataFrame:
+def similar_vectors(vectors: DataFrame, dim: int, k: int = 5, least: float = -1.0, shard: int | None = None, probes: int | None = None, beam: int = 0) -> DataFrame:
     """``id, other, similarity``: for each vector its ``k`` most similar others, cosine rounded to 6 decimals.
 
     ``vectors`` is ``id, v`` as of ``usable_vectors``, ids unique. Ties go to the lower id. Only similarities of at least
     ``least`` come out. Vectors of one direction (to a millionth in every coordinate) are exact: they are one class in
     the graph, and a class of any size costs each member k rows. The other similarities are exact too, but a neighbour
-    may be missed; see the README for the recall measured. With no or one vector the result is empty.
+    may be missed where neither visits the shard of the other; see the README for the recall measured. A vector visits
+    ``probes`` shards, by default ``PROBES`` or ``SPREAD`` times the root of their number, whichever is more; where there
+    are no more than that the result is exact. With a ``beam`` shards are searched by graphs of that beam, which misses
+    more. With no or one vector the result is empty.
     """
     spark = vectors.sparkSession
     kind = vectors.schema["id"].dataType.simpleString()
@@ -385,10 +434,12 @@ def similar_vectors(vectors: DataFrame, dim: int, k: int = 5, least: float = -1.
     if not count:
         return spark.createDataFrame([], f"id {kind}, other {kind}, similarity double")
 
+    shard = shard or (GRAPH_SHARD if beam else SHARD)
+    probes = probes or max(PROBES, int(np.ceil(SPREAD * np.sqrt(count / shard))))
     routed = staged(_routed(heads, dim, count, shard, probes), "routed")
     # a cell with more than a third more than a shard holds is cut by hash, and a query visits all its parts
     cells = routed.select(F.posexplode("cells").alias("pos", "cell")).groupBy("cell").agg(F.count_if(F.col("pos") == 0).alias("home"), F.count("*").alias("n"))
-    cells = cells.where("home > 0").select("cell", F.ceil(F.col("home") / (shard * FULL // SHARD)).cast("int").alias("subs"), F.ceil(F.col("n") / QUERIES).cast("int").alias("blocks"))
+    cells = cells.where("home > 0").select("cell", F.ceil(F.col("home") / (shard * 4 // 3)).cast("int").alias("subs"), F.ceil(F.col("n") / QUERIES).cast("int").alias("blocks"))
     cells = staged(cells, "cells")
     hashed = F.xxhash64("c")
 
@@ -397,16 +448,16 @@ def similar_vectors(vectors: DataFrame, dim: int, k: int = 5, least: float = -1.
 
     def build(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["h", "c"]).reset_index(drop=True)
-        graph = build_graph(_units(part["v"], dim)[1], part["h"].to_numpy())
+        graph = build_graph(_units(part["v"], dim)[1], part["h"].to_numpy()) if beam else {}
         sizes, blocks = np.array([len(v) for v in part["v"]], dtype=np.int32), int(part["blocks"].iloc[0])
         own = ((part["h"].to_numpy().astype(np.uint64) >> np.uint64(20)) % np.uint64(blocks)).astype(np.int32)
         row = {"cell": key[0], "sub": key[1], "blocks": blocks, "names": b"".join(part["c"]), "vectors": b"".join(part["v"]), "sizes": sizes.tobytes(), "own": own.tobytes()}
-        return pd.DataFrame([row | {g: graph[g].tobytes() for g in ("base", "upper", "heads")}])
+        return pd.DataFrame([row | {g: graph[g].tobytes() if beam else None for g in ("base", "upper", "heads")}])
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = max(tasks, min(-(-count // shard), 20_000))
     fields = "cell bigint, sub int, blocks int, names binary, vectors binary, sizes binary, own binary, base binary, upper binary, heads binary"
-    index = staged(shards.repartition(groups, "cell", "sub").groupBy("cell", "sub").applyInPandas(build, fields), "graphs")
+    index = staged(shards.repartition(groups, "cell", "sub").groupBy("cell", "sub").applyInPandas(build, fields), "shards")
 
     # a vector is sent to the shards it visits but its own, which has it
     asked = routed.select("c", "v", F.posexplode("cells").alias("pos", "cell")).join(cells, "cell")
@@ -421,18 +472,31 @@ def similar_vectors(vectors: DataFrame, dim: int, k: int = 5, least: float = -1.
         ends = np.cumsum(np.frombuffer(g["sizes"], np.int32)).tolist()
         raw, unit = _units([g["vectors"][a:b] for a, b in zip([0, *ends], ends)], dim)
         names = np.frombuffer(g["names"], dtype="V16")
-        width = 2 * LINKS
-        graph = {"base": np.frombuffer(g["base"], np.int32).reshape(-1, width), "upper": np.frombuffer(g["upper"], np.int32).reshape(-1, width + 1), "heads": np.frombuffer(g["heads"], np.int32)}
         mine = np.flatnonzero(np.frombuffer(g["own"], np.int32) == key[2])
-        q_raw, q_unit = _units(queries["v"], dim)
-        q_raw, q_unit = np.concatenate([raw[mine], q_raw]), np.concatenate([unit[mine], q_unit])
-        got, near = search_graph(unit, graph, q_unit, k + 3, beam)
-        # those clearly below the least similarity need no exact figure
-        i, j = np.nonzero((got >= 0) & (near > least - 1e-4))
-        a, b = q_raw[i].astype(np.float64), raw[got[i, j]].astype(np.float64)
-        s = np.round(np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b)), 6)
         own = np.concatenate([names[mine], np.frombuffer(b"".join(queries["c"]), dtype="V16")])
-        other = names[got[i, j]]
+        if beam:
+            width = 2 * LINKS
+            graph = {"base": np.frombuffer(g["base"], np.int32).reshape(-1, width), "upper": np.frombuffer(g["upper"], np.int32).reshape(-1, width + 1), "heads": np.frombuffer(g["heads"], np.int32)}
+        parts = (raw[mine[lo : lo + 8192]] for lo in range(0, len(mine), 8192))
+        others = (unpack_rows(queries["v"].iloc[lo : lo + 8192].tolist(), dim) for lo in range(0, len(queries), 8192))
+        found, done = [], 0
+        for q in chain(parts, others):
+            if beam:
+                norm = np.sqrt(np.einsum("ij,ij->i", q, q, dtype=np.float64))
+                got, near = search_graph(unit, graph, (q / norm[:, None]).astype(np.float32), k + 3, beam)
+                # those clearly below the least similarity need no exact figure
+                i, at = np.nonzero((got >= 0) & (near > least - 1e-4))
+                j = got[i, at]
+                a, b = q[i].astype(np.float64), raw[j].astype(np.float64)
+                s = np.round(np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b)), 6)
+            else:
+                i, j, s = scan_shard(raw, unit, q, keep, least)
+            found.append((done + i, j, s))
+            done += len(q)
+        if not found:
+            return pd.DataFrame({"c": pd.Series(dtype=object), "o": pd.Series(dtype=object), "s": pd.Series(dtype=float)})
+        i, j, s = (np.concatenate(x) for x in zip(*found))
+        other = names[j]
         ok = (own[i] != other) & (s >= least)
         return pd.DataFrame({"c": [x.tobytes() for x in own[i][ok]], "o": [x.tobytes() for x in other[ok]], "s": s[ok]}, columns=columns)
 

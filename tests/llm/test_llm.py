@@ -70,6 +70,25 @@ def test_unusable_outdated_and_no_vectors(spark):
     assert neighbours.similar_vectors(usable.where("id = 1"), 2).count() == 0
 
 
+def test_pairs_are_found_among_many_shards(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(750, 64))
+    x = np.concatenate([base, base + 0.9 * rng.normal(size=base.shape)]).astype(np.float32)
+    ids = rng.permutation(len(x)) + 1
+    want = nearest_by_force(x, ids, 5, 0.5)
+    got = {(r.id, r.other) for r in neighbours.similar_vectors(voices(spark, x, ids), 64, 5, 0.5, shard=16).collect()}
+    assert len(want & got) / len(want) >= 0.97 and not got - want
+
+
+@pytest.mark.parametrize("least", [-1.0, 0.5])
+def test_scanned_shards_are_exact(least):
+    x = np.concatenate([clustered(700, 16), 3 * clustered(30, 16)])
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    i, j, _ = neighbours.scan_shard(x, unit, x, 6, least)
+    got = {(a, b) for a, b in zip(i.tolist(), j.tolist()) if a != b}
+    assert nearest_by_force(x, range(len(x)), 5, least) <= got and len(got) < 5.2 * len(x)
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 40, 300])
 def test_graphs_of_any_size_can_be_searched(n):
     x = clustered(n, 8, n)
