@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -30,7 +31,6 @@ USED_BY, LEAST_LANGUAGE = 0.7, 0.01
 #: A keyword is a word of content that makes up so much of its text, and comes so often.
 KEYWORD_SHARE, KEYWORD_TIMES = 0.055, 5
 REACH, KEYWORD_REACH = 6, 3
-LABELS = 20_000
 SLICE_CHARS = 4 << 20
 
 _EDGES = r"^[^\p{L}\p{N}_#]+|[^\p{L}\p{N}_]+$"
@@ -220,7 +220,8 @@ def calibrated_bound(distance: np.ndarray, spam: np.ndarray) -> float | None:
     """The distance that parts labelled spam from the rest: greatest sum of the shares of both told right.
 
     As labels may be wrong, distances that are worse by one label of each kind count as equally good, and of them the
-    middle of the widest run without a label is taken. None where the labels are all of one kind.
+    middle of the widest run without a label is taken, the lowest of equally wide ones. None where the labels are all of
+    one kind. Labels of one distance stay together.
     """
     if not spam.any() or spam.all():
         return None
@@ -230,18 +231,47 @@ def calibrated_bound(distance: np.ndarray, spam: np.ndarray) -> float | None:
     right = np.concatenate([[0], np.cumsum(~s)]) / (~s).sum() + 1 - np.concatenate([[0], np.cumsum(s)]) / s.sum()
     edges = np.concatenate([[0.0], d, [d[-1] * 1.5]])
     slack = 1 / s.sum() + 1 / (~s).sum() + 1e-12
-    good = [k for k in np.flatnonzero(right >= right.max() - slack) if edges[k + 1] > edges[k]]
+    apart = np.diff(edges) > 0
+    good = np.flatnonzero(apart & (right >= right[apart].max() - slack)).tolist()
     k = max(good, key=lambda k: edges[k + 1] - edges[k])
     return float((edges[k] + edges[k + 1]) / 2)
 
 
+def labelled_bound(votes: DataFrame) -> float | None:
+    """``calibrated_bound`` of any number of labels: ``distance`` and how many call it spam (``bad``) and not (``fine``).
+
+    Sorted by range and summed up in two levels; one row per partition and the cut that is taken reach the driver.
+    """
+    spark = votes.sparkSession
+    places = votes.groupBy("distance").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine"))
+    places = places.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "distance")
+    places = staged(places.withColumn("part", F.spark_partition_id()), "votes")
+    parts = places.groupBy("part").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine"), F.min("distance").alias("lo"), F.max("distance").alias("hi")).orderBy("part").collect()
+    bad, fine = sum(r["bad"] for r in parts), sum(r["fine"] for r in parts)
+    if not bad or not fine:
+        return None
+    before, b, f = [], 0, 0
+    for r, after in zip(parts, [*[r["lo"] for r in parts[1:]], parts[-1]["hi"] * 1.5]):
+        before.append((r["part"], b, f, after))
+        b, f = b + r["bad"], f + r["fine"]
+    w = W.partitionBy("part").orderBy("distance")
+    so_far = lambda c: F.sum(c).over(w.rowsBetween(W.unboundedPreceding, 0)) + F.col(f"{c}_before")
+    cuts = places.join(F.broadcast(spark.createDataFrame(before, "part int, bad_before bigint, fine_before bigint, after double")), "part")
+    cuts = cuts.select(F.col("distance").alias("a"), F.coalesce(F.lead("distance").over(w), "after").alias("b"), (so_far("fine") / fine + 1 - so_far("bad") / bad).alias("right"))
+    # the cut below all
+    cuts = staged(cuts.unionByName(spark.createDataFrame([(0.0, parts[0]["lo"], 1.0)], "a double, b double, right double")).where("b > a"), "cuts")
+    slack = 1 / bad + 1 / fine + 1e-12
+    best = cuts.agg(F.max("right")).first()[0]
+    cut = cuts.where(F.col("right") >= best - slack).select("a", "b").orderBy(F.desc(F.col("b") - F.col("a")), "a").first()
+    return (cut["a"] + cut["b"]) / 2
+
+
 def spam_pages(pages: DataFrame, doc: str, text: str, lang: str, labels: DataFrame | None = None, label: str = "page_label", bad: str = "spam") -> DataFrame:
     """``doc, lang, n_words``, the five numbers, ``distance``, ``lean``, ``bound`` and ``spam`` of every row of ``pages``.
 
     ``spam`` is true where the distance is beyond the bound and the deviations, in units of the scatter, lean to the
-    side of spam (``lean`` > 0). The bound is set on ``labels`` (columns ``doc`` and ``label``), of which at most
-    ``LABELS`` rows are used, those of the least hashes; wrong and repeated labels are votes like others. Without
-    labels of both kinds it is the 99.9 per cent point of clean texts. Texts without words are never spam. Repeated
+    side of spam (``lean`` > 0). The bound is set on all of ``labels`` (columns ``doc`` and ``label``); wrong and
+    repeated labels are votes like others. Without labels of both kinds it is the 99.9 per cent point of clean texts. Texts without words are never spam. Repeated
     rows come out each.
     """
     features = staged(text_features(pages, doc, text, lang, learn_function_words(pages, text, lang)), "features")
@@ -259,10 +289,10 @@ def spam_pages(pages: DataFrame, doc: str, text: str, lang: str, labels: DataFra
     scored = features.withColumn("distance", F.sqrt(F.greatest(_distance(model), F.lit(0.0)))).withColumn("lean", leaning)
     bound = None
     if labels is not None:
-        votes = labels.where(F.col(label).isNotNull()).select(F.col(doc).alias("_doc"), (F.col(label) == bad).alias("_bad"))
-        votes = votes.orderBy(F.xxhash64("_doc"), "_doc", "_bad").limit(LABELS)
-        known = scored.where("n_words > 0 AND lean > 0").join(votes, F.col(doc) == F.col("_doc")).select("distance", "_bad").collect()
-        bound = calibrated_bound(np.array([r[0] for r in known]), np.array([r[1] for r in known], dtype=bool))
+        told = F.col(label) == bad
+        votes = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc).alias("_doc")).agg(F.count_if(told).alias("bad"), F.count_if(~told).alias("fine"))
+        known = scored.where("n_words > 0 AND lean > 0").select(F.col(doc).alias("_doc"), "distance")
+        bound = labelled_bound(known.join(votes, "_doc").select("distance", "bad", "fine"))
     bound = float(np.sqrt(OUTER)) if bound is None else bound
     flag = (F.col("n_words") > 0) & (F.col("distance") > bound) & (F.col("lean") > 0)
     return scored.withColumn("bound", F.lit(bound)).withColumn("spam", flag)

@@ -553,3 +553,23 @@ def test_bounds_part_labels_best():
     d, s = np.array([1.0, 2, 3, 9, 30, 40, 50]), np.array([0, 0, 0, 0, 1, 0, 1], dtype=bool)
     assert spam.calibrated_bound(d, s) == 19.5
     assert spam.calibrated_bound(d, s & False) is None and spam.calibrated_bound(d[:0], s[:0]) is None
+
+
+def test_the_bound_is_set_on_all_labels(spark):
+    rng = np.random.default_rng(2)
+    for n in (1, 50, 5000):
+        # distances with ties, and labels of which some are wrong
+        d = np.round(rng.gamma(4.0, 3.0, n), 2)
+        bad = (d > 15) ^ (rng.random(n) < 0.1)
+        votes = spark.createDataFrame([(float(x), int(y), int(not y)) for x, y in zip(d, bad)], "distance double, bad bigint, fine bigint")
+        assert spam.labelled_bound(votes) == spam.calibrated_bound(d, bad)
+    assert spam.calibrated_bound(np.full(20, 4.0), np.arange(20) > 9) == 2.0
+
+    # 400 labels for each of 60 pages, and spam the last of them by hash
+    ids = [r.id for r in spark.range(60).orderBy(F.xxhash64("id")).collect()]
+    words = lambda k: " ".join(PROSE.replace("lamp", f"lamp{k}{j}").replace("tafel", f"tafel{j}") for j in range(3 + k % 7))
+    pages = spark.createDataFrame([(k, words(k), "nl") for k in ids[:-5]] + list(zip(ids[-5:], LISTS.values(), ["nl"] * 5)), "doc_id bigint, text string, lang string")
+    labels = pages.select("doc_id", F.when(F.col("doc_id").isin(ids[-5:]), "spam").otherwise("ok").alias("page_label")).crossJoin(spark.range(400).select("id"))
+    got = spam.spam_pages(pages, "doc_id", "text", "lang", labels).where("n_words > 0 AND lean > 0").collect()
+    want = spam.calibrated_bound(np.repeat([r.distance for r in got], 400), np.repeat([r.doc_id in ids[-5:] for r in got], 400))
+    assert want is not None and {r.bound for r in got} == {want}
